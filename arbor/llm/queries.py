@@ -7,17 +7,61 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbor.llm.common import load
+from arbor.llm import decontaminate, jpeg, language, subword, urls
+from arbor.llm.common import crc_of_id, load
 from arbor.llm.minhash import near_duplicates
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontaminate.contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; the outcomes are ``labels.quality`` of the row with the page's id."""
+    labels = load(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), (F.col("quality") == 1).alias("good"))
+    return urls.url_verdicts(load(spark, sf_dir, "pages").select("page_id", "url"), outcomes).drop("url")
+
+
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as JPEG and read back."""
+    return jpeg.media_columns(load(spark, sf_dir, "documents").select("doc_id", "text"), with_media=False).drop("text")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that aren't held out."""
+    docs = load(spark, sf_dir, "documents")
+    model = language.train_on(docs)
+    held = (crc_of_id(F.col("doc_id")) % 3 == 1).alias("held_out")
+    return language.identify(docs.select("doc_id", held, "text"), model).drop("text")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels that aren't held out."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_of_id(F.col("doc_id")) % 5 == 0
+    model = subword.train(*subword.labelled_sample(docs, load(spark, sf_dir, "labels").where(~held), "doc_id", "quality"))
+    scored = subword.predict(docs, model, carry=["doc_id"])
+    good = F.get("posterior", F.lit(model.classes.index("1"))) if "1" in model.classes else F.lit(0.0)
+    return scored.select("doc_id", held.alias("held_out"), good.alias("score"), (good >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class id and size, number of links and the keep decision of every document."""
     return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "links", "keep", F.lower(F.hex("text_key")).alias("text_key"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_url_filter": op2_url_filter,
+    "op3_media": op3_media,
+    "op4_language": op4_language,
+    "op7_quality": op7_quality,
     "op9_near_duplicates": op9_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.SQL,
+    "op2_url_filter": urls.SQL,
+}
