@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbor.llm import decontaminate, jpeg, language, subword, urls
+from arbor.llm import chat, decontaminate, jpeg, language, mixing, secrets, sharding, subword, urls
 from arbor.llm.common import crc_of_id, load
 from arbor.llm.minhash import near_duplicates
 
@@ -37,6 +37,34 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", held, "text"), model).drop("text")
 
 
+def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the perspective of each of its participants."""
+    return chat.rotate(load(spark, sf_dir, "conversations"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, and its shard in a tree with one more."""
+    return sharding.assign(load(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.report(load(spark, sf_dir, "documents"), secrets.train(secrets.default_samples(spark)))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain, rate and copies of every document."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.mixture(docs, mixing.label_domains(load(spark, sf_dir, "labels")), carry=["doc_id"])
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels that aren't held out."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,6 +85,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_media": op3_media,
     "op4_language": op4_language,
+    "op5_perspectives": op5_perspectives,
+    "op6_sharding": op6_sharding,
+    "op8_secrets": op8_secrets,
+    "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
     "op7_quality": op7_quality,
     "op9_near_duplicates": op9_near_duplicates,
 }
@@ -64,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
     "op2_url_filter": urls.SQL,
+    "op5_perspectives": chat.SQL,
 }
