@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbor.llm import textbytes as tb
 from arbor.llm.common import drop_shared, fresh, quoted, text_key, write_shared
@@ -120,12 +121,12 @@ def _elements(data: np.ndarray, offs: np.ndarray, p: NearDuplicates) -> tuple[np
 def _signing(p: NearDuplicates):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = tb.buffers(batch.column(1))
+            data, offs = tb.buffers(batch.column(2))
             for lo, hi in tb.spans(offs):
                 e, counts = _elements(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], p)
                 keys = band_keys(dart_signatures(e, counts, p.bands * p.rows), counts, p.bands, p.rows)
                 has = counts > 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _list_column(keys[has].ravel(), np.where(has, p.bands, 0))], names=["key", "bands"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:2]), _list_column(keys[has].ravel(), np.where(has, p.bands, 0))], names=["key", "id", "bands"])
 
     return sign
 
@@ -176,7 +177,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 def links(unique: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
     """Verified links ``(a, b)`` between different texts.
 
-    ``unique(key, bands)``: one row per text; ``texts(key, text)``: at least one row per text. The members of a bucket are
+    ``unique(key, id, bands)``: one row per text; ``texts(key, id, text)``: a row of that key and id at least. The members of a bucket are
     compared with its smallest and its largest key, never with each other, so a bucket of n texts gives 2n pairs at most
     and a group of near copies is joined by the same two texts in all of its buckets. Each pair is then verified on the
     full shingle sets.
@@ -193,8 +194,10 @@ def links(unique: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
     )
     path = write_shared(pairs, "pairs")
     pairs = spark.read.parquet(path)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = texts.join(wanted, "key", "left_semi").select("key", "text").mapInArrow(_shingling(p), "key binary, set array<bigint>")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(unique.select("key", F.col("id").alias("first_id")), "key")
+    # one row of every text, so that copies don't travel; merged at any size, as the number of texts has no bound
+    needed = texts.join(wanted.withColumnRenamed("key", "first_key").hint("merge"), (F.col("key") == F.col("first_key")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+    sets = needed.select("key", "text").mapInArrow(_shingling(p), "key binary, set array<bigint>")
     sets = spark.read.parquet(write_shared(sets.groupBy("key").agg(F.first("set").alias("set")), "sets"))
     left = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
@@ -214,8 +217,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     p = params or NearDuplicates()
     spark = docs.sparkSession
     base = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).withColumn("key", text_key(F.col("text")))
-    texts = base.where("text is not null").select("key", "text")
-    signed = spark.read.parquet(write_shared(texts.mapInArrow(_signing(p), "key binary, bands array<bigint>").groupBy("key").agg(F.first("bands").alias("bands")), "signed"))
+    texts = base.where("text is not null").select("key", "id", "text")
+    schema = type(texts.schema)([f for f in texts.schema if f.name != "text"]).add("bands", T.ArrayType(T.LongType()))
+    signed = texts.mapInArrow(_signing(p), schema).groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    signed = spark.read.parquet(write_shared(signed, "signed"))
     found = spark.read.parquet(write_shared(links(signed, texts, p), "links"))
     comp = components(found)
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
