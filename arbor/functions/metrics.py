@@ -74,7 +74,7 @@ def auc_frame(df: DataFrame, truth: str = "label", prediction: str = "prediction
     every = grid.join(counts, "k", "left").fillna(0, ["pos", "neg"])
     down = Window.orderBy(F.desc("k"))
     whole = Window.partitionBy()
-    roc = every.select("k", (F.sum("pos").over(down) / F.sum("pos").over(whole)).alias("tpr"), (F.sum("neg").over(down) / F.sum("neg").over(whole)).alias("fpr"))
+    roc = every.select("k", F.try_divide(F.sum("pos").over(down), F.sum("pos").over(whole)).alias("tpr"), F.try_divide(F.sum("neg").over(down), F.sum("neg").over(whole)).alias("fpr"))
     step = roc.select("k", "tpr", "fpr", F.lead("tpr").over(down).alias("tpr2"), F.lead("fpr").over(down).alias("fpr2"))
     return step.where("k > 0").agg(F.sum(F.when(F.col("k") == 1, (1 - F.col("fpr")) * (1 + F.col("tpr")) / 2).otherwise((F.col("fpr2") - F.col("fpr")) * (F.col("tpr2") + F.col("tpr")) / 2)).alias("auc"))
 
