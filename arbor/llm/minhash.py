@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,35 +174,72 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def links(unique: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Verified links ``(a, b)`` between different texts.
+def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """``(a, b, sim)`` of pairs of keys: Jaccard similarity of the full shingle sets, written to the shared folder."""
+    left = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
+    right = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
+    whole = F.size("set_a") + F.size("set_b") - F.col("both")
+    return sets.sparkSession.read.parquet(write_shared(both.select("a", "b", (F.col("both") / F.greatest(whole, F.lit(1))).alias("sim")), name))
+
 
-    ``unique(key, id, bands)``: one row per text; ``texts(key, id, text)``: a row of that key and id at least. The members of a bucket are
-    compared with its smallest and its largest key, never with each other, so a bucket of n texts gives 2n pairs at most
-    and a group of near copies is joined by the same two texts in all of its buckets. Each pair is then verified on the
-    full shingle sets.
+def links(unique: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Verified links ``(a, b)`` between different texts, enough to join all texts that any chain of links joins.
+
+    ``unique(key, id, bands)``: one row per text; ``texts(key, id, text)``: a row of that key and id at least. First the
+    members of a bucket are compared with its smallest and its largest key, which joins most groups with 2n pairs. Two texts
+    may be alike and yet unlike both of these, so buckets that still hold more than one class are gone through: each member
+    outside the class that was the bucket's largest is compared with ranges of other members, 16 times as many in every round, until its
+    bucket is one class or all of it has been compared. Members of one class are never compared again, nor are pairs whose
+    distances to a center differ by more than the limit, as Jaccard distance is a metric. No bucket has a cap.
     """
     spark = unique.sparkSession
     entry = unique.select("key", F.explode("bands").alias("h"))
     bucket = entry.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-    pairs = (
-        entry.join(bucket, "h")
-        .select("key", F.explode(F.array("lo", "hi")).alias("center"))
-        .where("key <> center")
-        .select(F.least("key", "center").alias("a"), F.greatest("key", "center").alias("b"))
-        .distinct()
-    )
-    path = write_shared(pairs, "pairs")
-    pairs = spark.read.parquet(path)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(unique.select("key", F.col("id").alias("first_id")), "key")
+    members = spark.read.parquet(write_shared(entry.join(bucket, "h"), "members"))
+    star = members.select("key", F.explode(F.array("lo", "hi")).alias("center")).where("key <> center")
+    pairs = spark.read.parquet(write_shared(star.select(F.least("key", "center").alias("a"), F.greatest("key", "center").alias("b")).distinct(), "pairs"))
+    wanted = members.select("key").distinct().join(unique.select("key", F.col("id").alias("first_id")), "key")
     # one row of every text, so that copies don't travel; merged at any size, as the number of texts has no bound
     needed = texts.join(wanted.withColumnRenamed("key", "first_key").hint("merge"), (F.col("key") == F.col("first_key")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
     sets = needed.select("key", "text").mapInArrow(_shingling(p), "key binary, set array<bigint>")
     sets = spark.read.parquet(write_shared(sets.groupBy("key").agg(F.first("set").alias("set")), "sets"))
-    left = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
-    near = pairs.join(left, "a").where(F.size("set_a") > 0).join(right, "b").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
-    return near.where(F.col("both") >= F.lit(p.similarity) * (F.size("set_a") + F.size("set_b") - F.col("both"))).select("a", "b")
+    tested = _verified(pairs, sets, "tested")
+    near = lambda df: df.where(F.col("sim") >= p.similarity).select("a", "b")
+    edges, found = near(tested), True
+    low, width, largest, placed, tops = 1, 16, 2, None, None
+    while True:
+        if low >= largest:
+            return edges
+        if found:  # classes only change with new links
+            roots = components(edges).withColumnRenamed("node", "key")
+            labelled = members.join(roots, "key", "left").select("h", "key", "lo", "hi", F.coalesce("root", "key").alias("root"))
+            split = labelled.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 <> r1").select("h", "m")
+            if tops is None:  # a key of the largest class, for good: as classes only grow, who is outside now has always asked
+                counts = labelled.join(split, "h", "left_semi").groupBy("h", "root").agg(F.count("*").alias("c"))
+                tops = spark.read.parquet(write_shared(counts.groupBy("h").agg(F.max(F.struct("c", "root")).alias("top")).select("h", F.col("top.root").alias("top")), "tops"))
+            most = tops.join(roots.select(F.col("key").alias("top"), F.col("root").alias("now")), "top", "left").select("h", F.coalesce("now", "top").alias("top"))
+            rank = F.row_number().over(Window.partitionBy("h").orderBy("key")) - 1
+            open_ = labelled.join(split, "h").join(most, "h").withColumn("rank", rank)
+            for side in ("lo", "hi"):
+                known = tested.select(F.col("a").alias(f"{side}_a"), F.col("b").alias(f"{side}_b"), F.col("sim").alias(f"sim_{side}"))
+                on = (F.least("key", side) == F.col(f"{side}_a")) & (F.greatest("key", side) == F.col(f"{side}_b"))
+                open_ = open_.join(known, on, "left").withColumn(f"sim_{side}", F.when(F.col("key") == F.col(side), 1.0).otherwise(F.col(f"sim_{side}"))).drop(f"{side}_a", f"{side}_b")
+            placed = spark.read.parquet(write_shared(open_.select("h", "m", "top", "key", "root", "rank", "sim_lo", "sim_hi"), "open"))
+            largest = placed.agg(F.max("m")).first()[0] or 0
+            if low >= largest:
+                return edges
+        ask = placed.where("root <> top").where(F.col("m") > low)
+        steps = F.sequence(F.lit(low).cast("long"), F.least(F.lit(low + width - 1).cast("long"), F.col("m") - 1))
+        ask = ask.select("h", F.col("key").alias("y"), F.col("root").alias("root_y"), F.col("sim_lo").alias("lo_y"), F.col("sim_hi").alias("hi_y"), "m", "rank", F.explode(steps).alias("step"))
+        ask = ask.withColumn("rank", F.pmod(F.col("rank") + F.col("step"), F.col("m")).cast("int"))
+        far = lambda x, y: F.coalesce(F.abs(F.col(x) - F.col(y)) > 1 - p.similarity + 1e-9, F.lit(False))
+        new = ask.join(placed.select("h", "rank", "key", "root", "sim_lo", "sim_hi"), ["h", "rank"]).where((F.col("root") != F.col("root_y")) & ~far("sim_lo", "lo_y") & ~far("sim_hi", "hi_y"))
+        new = new.select(F.least("key", "y").alias("a"), F.greatest("key", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        more = _verified(new, sets, "tested")
+        found = not near(more).isEmpty()
+        tested, edges = tested.unionByName(more), edges.unionByName(near(more))
+        low, width = low + width, 16 * width
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearDuplicates | None = None) -> DataFrame:

@@ -116,3 +116,18 @@ def test_word_hashes_across_blocks(monkeypatch):
     parts, k = tb.word_hashes(np.frombuffer(text * 2, dtype=np.uint8), np.array([0, len(text), 2 * len(text)]))
     assert n.tolist() == k.tolist() == [151, 151]
     assert (whole == parts).all() and (whole[:151] == whole[151:]).all()
+
+
+def test_links_that_both_centers_miss(spark):
+    """Near copies of near copies: many pairs are alike that are unlike the smallest and the largest text of their bucket."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(40):
+            words = list(base)
+            for at in rng.sample(range(120), rng.choice([1, 1, 2, 2, 3])):
+                words[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    got = {r["doc_id"]: r["class_id"] for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for (i, _), c in brute(rows).items()}
