@@ -9,6 +9,7 @@ from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arbor.functions.metrics import rmse
 from arbor.operators import models as m
 from arbor.plans.params import BoostParams, ForestParams, MultiBoostParams, TreeParams
 from arbor.sources.libsvm import dense, feature_width, read_libsvm, write_predictions
@@ -71,10 +72,18 @@ def train(spark: SparkSession, a: argparse.Namespace) -> m.Model:
     began = time.time()
     rows = points(spark, a.train_pt, a.is_class)
     valid = points(spark, a.valid_pt, a.is_class) if getattr(a, "valid_pt", None) else None
+    sets = {"train": rows} | ({"valid": valid} if valid is not None else {})
     if kind is TreeParams:
         model: m.Model = m.train_tree(rows, params)
+        if params.impurity == "Variance":
+            for name, data in sets.items():
+                LOG.info("rmse(%s) = %.6f", name, rmse(model.predict(data)))
     elif kind is ForestParams:
         model = m.train_forest(rows, params)
+        if params.impurity == "Variance":
+            for name, data in sets.items():
+                for r in m.forest_errors(model, data).orderBy("trees").collect():
+                    LOG.info("%d trees: rmse(%s) = %.6f", r["trees"], name, r["rmse"])
     elif kind is MultiBoostParams:
         model = m.train_multi_boost(rows, params)
     else:

@@ -74,7 +74,7 @@ class ForestModel(Model):
     """Gini: the most frequent vote, the smallest of equals. Variance: the mean."""
 
     def votes(self, features: Column) -> Column:
-        return F.array(*self.tree_columns(features).values())
+        return F.array(*(c for _, c in sorted(self.tree_columns(features).items(), key=lambda x: x[0])))
 
     def prediction(self, features: Column) -> Column:
         votes = self.votes(features)
@@ -85,6 +85,14 @@ class ForestModel(Model):
         return F.get(sorted_votes, (F.array_position(counts, F.array_max(counts)) - 1).cast("int"))
 
 
+def forest_errors(model: ForestModel, points: DataFrame, label: str = "label", features: str = "features") -> DataFrame:
+    """``(trees int, rmse)``: the error of the mean of the first 1, 2, ... trees, all in one pass over ``points``."""
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
+    sums = F.aggregate(model.votes(F.col(features)), start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.array_append(a["out"], a["sum"] + x).alias("out")), lambda a: a["out"])
+    each = points.select(F.col(label).alias("y"), F.posexplode(sums).alias("i", "s"))
+    return each.groupBy((F.col("i") + 1).alias("trees")).agg(rmse_of(F.col("y"), F.col("s") / (F.col("i") + 1)).alias("rmse"))
+
+
 class BoostModel(Model):
     """The first tree in full and the others by the learning rate."""
 

@@ -473,6 +473,19 @@ def rf_mean(spark: SparkSession, d: str) -> DataFrame:
     return models.train_forest(points, _FOREST, F.col("id")).predict(points).select("id", "label", F.round("prediction", 9).alias("prediction"))
 
 
+@query(
+    o.query(
+        _forest_sql("p_size", _FOREST, o.Sums()),
+        f"""SELECT CAST(k AS INTEGER) AS trees, round(sqrt(avg((y - p) * (y - p))), 9) AS rmse
+FROM (SELECT a.y, unnest([1, 2, 3]) AS k, unnest([a.pred, (a.pred + b.pred) / 2, (a.pred + b.pred + c.pred) / 3]) AS p {_JOINED}) GROUP BY k""",
+    )
+)
+def rf_errors(spark: SparkSession, d: str) -> DataFrame:
+    points = part_points(spark, d)
+    errors = models.forest_errors(models.train_forest(points, _FOREST, F.col("id")), points)
+    return errors.select("trees", F.round("rmse", 9).alias("rmse"))
+
+
 _VOTES = ForestParams(impurity="Gini", max_depth=2, max_bins=1 << 20, bin_samples=MANY, num_trees=3, col_rate=0.5)
 
 

@@ -1,14 +1,15 @@
 """Metrics, TF-IDF, libsvm text, sampling, streams and the command line on known values."""
 
 import math
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from arbor import cli
+from arbor import cli, examples
 from arbor.functions import loss, metrics, sampling
 from arbor.operators import models, tfidf
-from arbor.plans.params import TreeParams, loss_name
+from arbor.plans.params import ForestParams, TreeParams, loss_name
 from arbor.sources import libsvm
 from arbor.streaming.scoring import score_stream
 
@@ -111,3 +112,28 @@ def test_names():
     assert loss_name("squared_error") == "SquaredError"
     with pytest.raises(ValueError):
         loss_name("log")
+
+
+@pytest.mark.parametrize("name", ["a1a-library-tree", "a1a-cart", "dna-gbdt", "dna-random-forest", "cadata-cart", "cadata-local-random-forest"])
+def test_examples(spark, tmp_path, name):
+    example = examples.EXAMPLES[name]
+    small = {"num_trees": 2} if "forest" in name else {"num_round": 2} if "gbdt" in name else {}
+    if small:
+        example = replace(example, params=replace(example.params, max_depth=3, **small))
+    for f in example.files:
+        with open(tmp_path / f, "w") as out:
+            out.write("\n".join(f"{(i % 4 > 1) + 0 if example.classify else i % 4} 1:{i % 4} 2:{i % 9 + 1}" for i in range(400)))
+    error = dict(examples.run(spark, name, str(tmp_path))) if not small else None
+    if small:
+        train, test = examples.load(spark, str(tmp_path), example)
+        scored = examples.fit(example, train, test).predict(test)
+        error = {"test": metrics.rmse(scored)}
+    assert error["test"] < 0.6
+
+
+def test_errors_of_a_growing_forest(spark):
+    points = spark.createDataFrame([(i, float(i % 5), [float(i % 7), float(i % 5)]) for i in range(300)], "id long, label double, features array<double>")
+    model = models.train_forest(points, ForestParams(num_trees=3, max_depth=3), F.col("id"))
+    got = {r["trees"]: r["rmse"] for r in models.forest_errors(model, points).collect()}
+    assert sorted(got) == [1, 2, 3]
+    assert abs(got[3] - metrics.rmse(model.predict(points))) < 1e-9
