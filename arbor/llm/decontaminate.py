@@ -121,8 +121,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     keyed = docs.withColumn(own, text_key(text))
     both = keyed.join(rows, quoted(id_col).eqNullSafe(F.col(rid)) & (F.col(own) == F.col(key)), "left").where(~F.coalesce(F.col(many), F.lit(False)))
     gaps, words = F.split(text, RAW_WORD, -1), F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))
-    pieces = F.zip_with(F.slice(gaps, 2, F.size(gaps)), words, lambda g, w: F.concat(w, g))
-    cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains(F.col(at), i)), ""))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(words) - 1), F.col(at))  # by hash: linear in the words
+    cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(stay, lambda i: F.concat(F.get(words, i), F.get(gaps, i + 1))), ""))
     return both.select(*(F.when(F.col(at).isNotNull(), cut).otherwise(quoted(c)).alias(c) if c == text_col else quoted(c) for c in docs.columns))
 
 
