@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +61,27 @@ def drop_shared(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the modules of this package to the executors, once for an application, so that they need no copy installed."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for module in sorted(package.rglob("*.py")):
+            z.write(module, module.relative_to(package.parent))
+    path = f"{shared_dir(spark)}/{package.name}-{uuid.uuid4().hex}.zip"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = files.create(place)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    files.deleteOnExit(place)
+    context.addPyFile(path)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, so that inputs with clashing columns work."""
     taken = {c.lower() for c in df.columns}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbor.llm import textbytes as tb
-from arbor.llm.common import fresh, quoted
+from arbor.llm.common import fresh, quoted, ship
 
 ROW = 64
 MOST_ROWS = 65535 // 8
@@ -369,6 +369,7 @@ def media_columns(docs: DataFrame, text_col: str = "text", with_media: bool = Tr
 
     A null text counts as empty: 64 zero bytes are stored, so every row has a file. Equal texts have equal values.
     """
+    ship(docs.sparkSession)
     new = {n for n, _ in FIELDS} | {"media"}
     kept = [c for c in docs.columns if c.lower() not in new]
     text = fresh(docs, "media_text")

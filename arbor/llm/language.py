@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbor.llm import textbytes as tb
-from arbor.llm.common import crc_of_id, fresh, quoted
+from arbor.llm.common import crc_of_id, fresh, quoted, ship
 
 UNKNOWN = "und"
 SCALE = 256.0
@@ -195,6 +195,7 @@ def identify(docs: DataFrame, model: ContextTrees, text_col: str = "text") -> Da
     lang_pred is ``und`` (score 0) for a null text, one without a letter, or if the model has no language; score: the
     share of the predicted language in the total probability, 1 when the codes of the others are much longer.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     new = ("lang_pred", "score", "bits_per_byte")
     kept = [c for c in docs.columns if c.lower() not in new]

@@ -1,4 +1,4 @@
-"""Supervised subword embeddings: hashed vectors of words and byte n-grams, averaged per document, with a softmax output.
+"""Supervised subword embeddings: hashed vectors of words, word pairs and byte n-grams, averaged per document, with a softmax output.
 
 The model is trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. As the output is linear
 in the averaged vectors, the learned vectors and output weights are folded into one score per feature and class; a text is
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbor.llm import textbytes as tb
-from arbor.llm.common import fresh, quoted
+from arbor.llm.common import fresh, quoted, ship
 
 U64 = np.uint64
 FIXED = 2.0**20
@@ -49,11 +49,16 @@ class SubwordModel:
 def features(data: np.ndarray, offsets: np.ndarray, grams: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Kinds of features in turn, each as (buckets of the features in order, number in each document).
 
-    Words are folded; byte n-grams are taken as they stand, from 3 or 4 bytes within a document.
+    Words are folded. A pair of neighbouring words is hashed by the exclusive or of their hashes, so that all pairs of a word
+    with itself share one vector, whatever the word. Byte n-grams are taken as they stand, from 3 or 4 bytes within a document.
     """
     shift = U64(64 - int(buckets).bit_length() + 1)
     words, n = tb.word_hashes(data, offsets)
     yield (words >> shift).astype(np.int64), n
+    last = np.zeros(len(words), dtype=bool)
+    last[np.cumsum(n)[n > 0] - 1] = True
+    pairs = words[:-1] ^ words[1:]
+    yield (tb.mix(pairs[~last[:-1]] + U64(1)) >> shift).astype(np.int64), np.maximum(n - 1, 0)
     size = np.diff(offsets)
     wide = data.astype(np.uint32)
     for g in grams:
@@ -160,6 +165,7 @@ def predict(docs: DataFrame, model: SubwordModel, text_col: str = "text", carry:
     n_words; columns of these names are replaced. A null text counts as empty; an empty text gets the shares of the classes
     among the labels.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("posterior", "n_words")]
     text = fresh(docs, "subword_text")

@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from arbor.llm import jpeg as j
@@ -180,3 +181,16 @@ def test_quality_held_out_and_odd_texts(spark):
     assert sw.predict(odd.where("false"), model).count() == 0
     assert sw.labelled_sample(docs, labels.where("false"), "doc_id", "quality") == ([], [])
     assert sw.predict(odd, sw.train([], [])).first()["posterior"] == []
+
+
+def test_repetition_of_unseen_words_is_learned():
+    """All pairs of a word with itself share one vector, so repetition is seen in words that the training never held."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    varied = lambda: " ".join(word() for _ in range(40))
+    repeated = lambda: " ".join(w for w in (word() for _ in range(8)) for _ in range(5))
+    texts = [varied() for _ in range(150)] + [repeated() for _ in range(150)]
+    model = sw.train(texts, ["1"] * 150 + ["0"] * 150)
+    data, offs = tb.buffers(pa.array([varied() for _ in range(50)] + [repeated() for _ in range(50)]))
+    good = sw.probabilities(sw.logits(model, data, offs))[:, 1]
+    assert (good[:50] > 0.5).all() and (good[50:] < 0.5).all()
