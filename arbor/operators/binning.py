@@ -10,6 +10,8 @@ from arbor.functions.sampling import bernoulli, binning_fraction
 
 #: One row of doubles per feature; strictly increasing.
 Thresholds = list[list[float]]
+#: Up to so many thresholds are conditions of a plan; more are searched in array literals.
+MOST_CONDITIONS = 1024
 
 
 def long_form(points: DataFrame) -> DataFrame:
@@ -95,6 +97,21 @@ def bin_of(value: Column, thresholds: Column, dialect: str = "distributed") -> C
     return F.size(F.filter(thresholds, (lambda t: t <= value) if dialect == "distributed" else (lambda t: t < value)))
 
 
+def bin_by_search(value: Column, thresholds: list[float], dialect: str = "distributed") -> Column:
+    """:func:`bin_of` as a binary search of conditions, which is compiled; the expression grows with the thresholds."""
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        t = F.lit(float(thresholds[mid]))
+        return F.when(t <= value if dialect == "distributed" else t < value, search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, len(thresholds))
+
+
 def binned(features: Column, thresholds: Thresholds, dialect: str = "distributed") -> Column:
-    """Bins of an array of feature values."""
-    return F.array(*(bin_of(F.get(features, F.lit(f)), array_literal(t, "double"), dialect) for f, t in enumerate(thresholds)))
+    """Bins of an array of feature values. While all features have few thresholds in total, they are searched by conditions."""
+    few = sum(map(len, thresholds)) <= MOST_CONDITIONS
+    of = (lambda v, t: bin_by_search(v, t, dialect)) if few else (lambda v, t: bin_of(v, array_literal(t, "double"), dialect))
+    return F.array(*(of(F.get(features, F.lit(f)), t) for f, t in enumerate(thresholds)))

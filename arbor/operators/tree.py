@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from arbor.functions.literals import array_literal
 
 NODES = "tree_id int, class_id int, node_id long, depth int, count double, impurity double, predict double, is_leaf boolean, split_f int, split_s int, threshold double"
-#: Trees of more nodes are applied by joins instead of literals.
-MOST_LITERAL = 1 << 16
+#: Trees of up to so many nodes are compiled conditions; larger methods aren't compiled to machine code.
+MOST_NESTED = 63
 
 
 @dataclass
@@ -47,51 +47,58 @@ def nodes_of(frame: DataFrame) -> list[Node]:
     return [Node(*r) for r in frame.select(*names).orderBy("tree_id", "class_id", "node_id").collect()]
 
 
-def _descend(nodes: list[Node], goes_right: Callable[[Column, list[Node]], Column], result: str, kind: str) -> Column:
-    """Walk one tree from its root in an expression; nodes are array positions, so the plan doesn't grow with depth."""
+def _descend(nodes: list[Node], goes_right: Callable[[Column, Column], Column], cut: str, result: str, kind: str) -> Column:
+    """Walk one tree from its root in an expression. goes_right: by split feature and cut, the node's value named ``cut``.
+
+    Small trees are nested conditions, which are compiled. In larger ones nodes are array positions, so that the plan doesn't
+    grow with depth.
+    """
     nodes = sorted(nodes, key=lambda n: n.node_id)
     at = {n.node_id: i for i, n in enumerate(nodes)}
+    kind_of_cut = "int" if cut == "split_s" else "double"
+    if len(nodes) <= MOST_NESTED:
+
+        def below(node_id: int) -> Column:
+            n = nodes[at[node_id]]
+            if n.is_leaf:
+                return F.lit(getattr(n, result)).cast(kind)
+            return F.when(goes_right(F.lit(n.split_f), F.lit(getattr(n, cut)).cast(kind_of_cut)), below(2 * node_id + 1)).otherwise(below(2 * node_id))
+
+        return below(1)
     left = [0 if n.is_leaf else at[2 * n.node_id] for n in nodes]
     right = [0 if n.is_leaf else at[2 * n.node_id + 1] for n in nodes]
     out = array_literal([getattr(n, result) for n in nodes], kind)
-    depth = max((n.depth for n in nodes), default=0)
-    if depth == 0:
-        return F.get(out, F.lit(0))
     lefts, rights = array_literal(left, "int"), array_literal(right, "int")
+    features, cuts = array_literal([n.split_f or 0 for n in nodes], "int"), array_literal([getattr(n, cut) or 0 for n in nodes], kind_of_cut)
 
     def step(i: Column, _: Column) -> Column:
-        return F.when(F.get(lefts, i) == 0, i).when(goes_right(i, nodes), F.get(rights, i)).otherwise(F.get(lefts, i))
-
-    return F.get(out, F.aggregate(array_literal(range(depth), "int"), F.lit(0), step))
+        return F.when(F.get(lefts, i) == 0, i).when(goes_right(F.get(features, i), F.get(cuts, i)), F.get(rights, i)).otherwise(F.get(lefts, i))
 
+    return F.get(out, F.aggregate(array_literal(range(max(n.depth for n in nodes)), "int"), F.lit(0), step))
 
-def _right_of_bins(bins: Column):
-    def right(i: Column, rows: list[Node]) -> Column:
-        f, s = array_literal([n.split_f or 0 for n in rows], "int"), array_literal([n.split_s or 0 for n in rows], "int")
-        return F.get(bins, F.get(f, i)) > F.get(s, i)
 
-    return right
+def _right_of_bins(bins: Column) -> Callable[[Column, Column], Column]:
+    return lambda f, s: F.get(bins, f) > s
 
 
 def leaf_of_bins(nodes: list[Node], bins: Column) -> Column:
     """Node id that a binned row has reached in one tree."""
-    return _descend(nodes, _right_of_bins(bins), "node_id", "bigint")
+    return _descend(nodes, _right_of_bins(bins), "split_s", "node_id", "bigint")
 
 
 def predict_bins(nodes: list[Node], bins: Column) -> Column:
     """Prediction of one tree for a binned row, equal to what its raw values give."""
-    return _descend(nodes, _right_of_bins(bins), "predict", "double")
+    return _descend(nodes, _right_of_bins(bins), "split_s", "predict", "double")
 
 
 def predict_tree(nodes: list[Node], features: Column, dialect: str = "distributed") -> Column:
     """Prediction of one tree for an array of raw feature values; a missing value reads as 0."""
 
-    def right(i: Column, rows: list[Node]) -> Column:
-        f, t = array_literal([n.split_f or 0 for n in rows], "int"), array_literal([0.0 if n.threshold is None else n.threshold for n in rows], "double")
-        v = F.coalesce(F.get(features, F.get(f, i)), F.lit(0.0))
-        return v >= F.get(t, i) if dialect == "distributed" else v > F.get(t, i)
+    def right(f: Column, t: Column) -> Column:
+        v = F.coalesce(F.get(features, f), F.lit(0.0))
+        return v >= t if dialect == "distributed" else v > t
 
-    return _descend(nodes, right, "predict", "double")
+    return _descend(nodes, right, "threshold", "predict", "double")
 
 
 def predict_by_join(points: DataFrame, nodes: DataFrame, depth: int, dialect: str = "distributed", out: str = "prediction") -> DataFrame:

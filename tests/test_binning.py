@@ -73,3 +73,12 @@ def test_bins(spark):
     left = rows.select(b.binned(F.array("v"), [[2.0, 3.0]], "local")[0].alias("b"))
     assert [r["b"] for r in right.collect()] == [0, 0, 0, 1, 1, 2, 2]
     assert [r["b"] for r in left.collect()] == [0, 0, 1, 1, 2, 2, 2]
+
+
+@pytest.mark.parametrize("dialect", ["distributed", "local"])
+def test_search_equals_count(spark, dialect):
+    cuts = [[1.0, 2.0, 5.0, 7.0, 7.5], [], [0.0]]
+    rows = [([v / 2, v / 3, v - 4.0],) for v in range(-3, 20)] + [([None, None, None],)]
+    df = spark.createDataFrame(rows, "features array<double>")
+    plain = F.array(*(b.bin_of(F.get("features", F.lit(f)), F.array(*map(F.lit, t)).cast("array<double>"), dialect) for f, t in enumerate(cuts)))
+    assert df.where(~b.binned(F.col("features"), cuts, dialect).eqNullSafe(plain)).count() == 0

@@ -136,3 +136,12 @@ def test_params(spark):
             TreeParams(**bad)
     with pytest.raises(ValueError):
         BoostParams(impurity="Gini")
+
+
+def test_nested_conditions_equal_the_walk(spark, monkeypatch):
+    points = spark.createDataFrame([(float(i * 7 % 11), [float(i % 13), float(i * 5 % 17)]) for i in range(400)], "label double, features array<double>")
+    model = m.train_tree(points, TreeParams(max_depth=4, min_node_size=5))
+    assert 8 < len(model.nodes) <= t.MOST_NESTED
+    nested = model.predict(points).collect()
+    monkeypatch.setattr(t, "MOST_NESTED", 0)
+    assert model.predict(points).collect() == nested
