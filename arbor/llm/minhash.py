@@ -14,12 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbor.llm import textbytes as tb
-from arbor.llm.common import drop_shared, fresh, quoted, text_key, write_shared
+from arbor.llm.common import drop_shared, fresh, materialize, quoted, ship, text_key, write_shared
 
 U64 = np.uint64
 EMPTY = U64(2**64 - 1)
@@ -38,6 +38,9 @@ class NearDuplicates:
     #: "set": every distinct shingle weighs 1, so darts estimate the Jaccard similarity that is verified.
     #: "count": a shingle weighs as often as it occurs, which is weighted Jaccard similarity.
     weights: str = "set"
+    #: Buckets of up to so many members are compared pair by pair; a shingle in up to so many texts is rare.
+    small: int = 8
+    rare: int = 8
 
     def __post_init__(self) -> None:
         if self.weights not in ("set", "count"):
@@ -183,63 +186,106 @@ def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return sets.sparkSession.read.parquet(write_shared(both.select("a", "b", (F.col("both") / F.greatest(whole, F.lit(1))).alias("sim")), name))
 
 
+def _near(tested: DataFrame, p: NearDuplicates) -> DataFrame:
+    return tested.where(F.col("sim") >= p.similarity).select("a", "b")
+
+
+def _pair(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members(h, key, m)`` of the buckets with more than one class, with the class (root) of each and the largest one (top)."""
+    labelled = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("h", "key", "m", F.coalesce("root", "key").alias("root"))
+    sizes = labelled.groupBy("h", "root").agg(F.count("*").alias("c"))
+    tops = sizes.groupBy("h").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+    return materialize(labelled.join(tops.select("h", F.col("top.root").alias("top")), "h"), "open")
+
+
+def _small_candidates(small: DataFrame) -> DataFrame:
+    """Pairs of different classes in buckets of few members: each is compared with all others."""
+    outside = small.where("root <> top").select("h", F.col("key").alias("x"), F.col("root").alias("root_x"))
+    return _pair(outside.join(small, "h").where("root_x <> root"), "x", "key")
+
+
+def _counts(large: DataFrame, sets: DataFrame, p: NearDuplicates) -> tuple[DataFrame, DataFrame]:
+    """For the texts of large buckets, ``(key, size, token, n)`` of the shingles that n of them have, n > 1, and by text
+    ``(key, size, common, shared)``: how many shingles it has, how many of them are common (in more than ``p.rare`` texts) and
+    how many are in any other text. A text that shares no shingle is left out, as nothing is similar to it.
+    """
+    tokens = sets.join(large.select("key").distinct(), "key", "left_semi").select("key", F.size("set").alias("size"), F.explode("set").alias("token"))
+    spread = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    tokens = materialize(tokens.join(spread, "token"), "tokens")
+    return tokens, materialize(tokens.groupBy("key", "size").agg(F.count_if(F.col("n") > p.rare).alias("common"), F.count("*").alias("shared")), "counts")
+
+
+def _consensus_candidates(large: DataFrame, counts: DataFrame) -> DataFrame:
+    """Members of large buckets with the one that has most of what is common there and least else."""
+    known = large.join(counts, "key")
+    best = known.groupBy("h").agg(F.max(F.struct(2 * F.col("common") - F.col("size"), "key", "root")).alias("best")).select("h", F.col("best.key").alias("center"), F.col("best.root").alias("center_root"))
+    return _pair(known.join(best, "h").where("root <> center_root"), "key", "center")
+
+
+def _large_candidates(large: DataFrame, tokens: DataFrame, counts: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Pairs of different classes in large buckets that can be similar; for all others their counts prove that they aren't.
+
+    Two texts share as many common shingles as the poorer of them has at most, so that similar texts share rare ones, which
+    the inverted lists of rare shingles find, or have common ones enough. Texts whose shared shingles are too few for any
+    partner are left out first. Only texts outside the largest class of a bucket ask, as every pair of different classes has
+    one.
+    """
+    need = lambda a, b: F.lit(p.similarity / (1 + p.similarity)) * (F.col(a) + F.col(b)) - 1e-6
+    known = large.join(counts, "key")
+    sizes = known.groupBy("h").agg(F.array_sort(F.collect_set("size")).alias("sizes"))  # at most as many as texts have lengths
+    known = materialize(known.join(sizes, "h"), "known")
+    alive = known.groupBy("key", "size", "common", "shared", "root").agg(F.min(F.array_min("sizes")).alias("least"), F.max(F.col("root") != F.col("top")).alias("asks"))
+    alive = alive.where(F.col("shared") >= F.lit(p.similarity / (1 + p.similarity)) * (F.col("size") + F.greatest("least", F.col("size") * p.similarity)) - 1e-6)
+
+    rare = tokens.where(F.col("n") <= p.rare).select("key", "token").join(alive, "key")
+    asking = rare.where("asks").select("token", *(F.col(c).alias(f"{c}_x") for c in ("key", "size", "common", "root")))
+    met = asking.join(rare, "token").where("root_x <> root").groupBy("key_x", "key", "size_x", "size", "common_x", "common").agg(F.count("*").alias("met"))
+    by_rare = met.where(F.least("common_x", "common") + F.col("met") >= need("size_x", "size"))
+
+    limit = F.col("common") * ((1 + p.similarity) / p.similarity) - F.col("size") + 1e-6
+    fit = F.filter("sizes", lambda n: (n <= limit) & (n >= F.col("size") * p.similarity - 1e-6) & (n <= F.col("size") / p.similarity + 1e-6))
+    outside = known.where("root <> top").select("h", F.explode(fit).alias("size"), *(F.col(c).alias(f"{c}_x") for c in ("key", "size", "common", "root")))
+    by_common = outside.join(known.select("h", "key", "size", "common", "root"), ["h", "size"]).where((F.col("root_x") != F.col("root")) & (F.least("common_x", "common") >= need("size_x", "size")))
+    return _pair(by_rare, "key_x", "key").unionByName(_pair(by_common, "key_x", "key")).distinct()
+
+
 def links(unique: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
     """Verified links ``(a, b)`` between different texts, enough to join all texts that any chain of links joins.
 
     ``unique(key, id, bands)``: one row per text; ``texts(key, id, text)``: a row of that key and id at least. First the
-    members of a bucket are compared with its smallest and its largest key, which joins most groups with 2n pairs. Two texts
-    may be alike and yet unlike both of these, so buckets that still hold more than one class are gone through: each member
-    outside the class that was the bucket's largest is compared with ranges of other members, 16 times as many in every round, until its
-    bucket is one class or all of it has been compared. Members of one class are never compared again, nor are pairs whose
-    distances to a center differ by more than the limit, as Jaccard distance is a metric. No bucket has a cap.
+    members of a bucket are compared with its center, the one that shares most buckets with others, which joins most groups
+    with one pair for each member. Two texts may be alike and yet unlike the center, so buckets that still hold more than one
+    class are gone through: those of up to ``p.small`` members pair by pair; larger ones by a second center, the text nearest
+    to what the bucket has in common, and then by :func:`_large_candidates`. No bucket has a cap: every pair of a bucket is in
+    one class, is compared, or can't be similar.
     """
     spark = unique.sparkSession
     entry = unique.select("key", F.explode("bands").alias("h"))
-    bucket = entry.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-    members = spark.read.parquet(write_shared(entry.join(bucket, "h"), "members"))
-    star = members.select("key", F.explode(F.array("lo", "hi")).alias("center")).where("key <> center")
-    pairs = spark.read.parquet(write_shared(star.select(F.least("key", "center").alias("a"), F.greatest("key", "center").alias("b")).distinct(), "pairs"))
+    bucket = entry.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    members = materialize(entry.join(bucket, "h"), "members")
+    popular = members.groupBy("key").agg(F.sum("m").alias("weight"))
+    centers = members.join(popular, "key").groupBy("h").agg(F.max(F.struct("weight", "key")).alias("best")).select("h", F.col("best.key").alias("center"))
+    pairs = materialize(_pair(members.join(centers, "h").where("key <> center"), "key", "center"), "pairs")
     wanted = members.select("key").distinct().join(unique.select("key", F.col("id").alias("first_id")), "key")
     # one row of every text, so that copies don't travel; merged at any size, as the number of texts has no bound
     needed = texts.join(wanted.withColumnRenamed("key", "first_key").hint("merge"), (F.col("key") == F.col("first_key")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
     sets = needed.select("key", "text").mapInArrow(_shingling(p), "key binary, set array<bigint>")
-    sets = spark.read.parquet(write_shared(sets.groupBy("key").agg(F.first("set").alias("set")), "sets"))
+    sets = materialize(sets.groupBy("key").agg(F.first("set").alias("set")), "sets")
     tested = _verified(pairs, sets, "tested")
-    near = lambda df: df.where(F.col("sim") >= p.similarity).select("a", "b")
-    edges, found = near(tested), True
-    low, width, largest, placed, tops = 1, 16, 2, None, None
-    while True:
-        if low >= largest:
-            return edges
-        if found:  # classes only change with new links
-            roots = components(edges).withColumnRenamed("node", "key")
-            labelled = members.join(roots, "key", "left").select("h", "key", "lo", "hi", F.coalesce("root", "key").alias("root"))
-            split = labelled.groupBy("h").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 <> r1").select("h", "m")
-            if tops is None:  # a key of the largest class, for good: as classes only grow, who is outside now has always asked
-                counts = labelled.join(split, "h", "left_semi").groupBy("h", "root").agg(F.count("*").alias("c"))
-                tops = spark.read.parquet(write_shared(counts.groupBy("h").agg(F.max(F.struct("c", "root")).alias("top")).select("h", F.col("top.root").alias("top")), "tops"))
-            most = tops.join(roots.select(F.col("key").alias("top"), F.col("root").alias("now")), "top", "left").select("h", F.coalesce("now", "top").alias("top"))
-            rank = F.row_number().over(Window.partitionBy("h").orderBy("key")) - 1
-            open_ = labelled.join(split, "h").join(most, "h").withColumn("rank", rank)
-            for side in ("lo", "hi"):
-                known = tested.select(F.col("a").alias(f"{side}_a"), F.col("b").alias(f"{side}_b"), F.col("sim").alias(f"sim_{side}"))
-                on = (F.least("key", side) == F.col(f"{side}_a")) & (F.greatest("key", side) == F.col(f"{side}_b"))
-                open_ = open_.join(known, on, "left").withColumn(f"sim_{side}", F.when(F.col("key") == F.col(side), 1.0).otherwise(F.col(f"sim_{side}"))).drop(f"{side}_a", f"{side}_b")
-            placed = spark.read.parquet(write_shared(open_.select("h", "m", "top", "key", "root", "rank", "sim_lo", "sim_hi"), "open"))
-            largest = placed.agg(F.max("m")).first()[0] or 0
-            if low >= largest:
-                return edges
-        ask = placed.where("root <> top").where(F.col("m") > low)
-        steps = F.sequence(F.lit(low).cast("long"), F.least(F.lit(low + width - 1).cast("long"), F.col("m") - 1))
-        ask = ask.select("h", F.col("key").alias("y"), F.col("root").alias("root_y"), F.col("sim_lo").alias("lo_y"), F.col("sim_hi").alias("hi_y"), "m", "rank", F.explode(steps).alias("step"))
-        ask = ask.withColumn("rank", F.pmod(F.col("rank") + F.col("step"), F.col("m")).cast("int"))
-        far = lambda x, y: F.coalesce(F.abs(F.col(x) - F.col(y)) > 1 - p.similarity + 1e-9, F.lit(False))
-        new = ask.join(placed.select("h", "rank", "key", "root", "sim_lo", "sim_hi"), ["h", "rank"]).where((F.col("root") != F.col("root_y")) & ~far("sim_lo", "lo_y") & ~far("sim_hi", "hi_y"))
-        new = new.select(F.least("key", "y").alias("a"), F.greatest("key", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = _verified(new, sets, "tested")
-        found = not near(more).isEmpty()
-        tested, edges = tested.unionByName(more), edges.unionByName(near(more))
-        low, width = low + width, 16 * width
+
+    def test(candidates: DataFrame) -> DataFrame:
+        return tested.unionByName(_verified(candidates.join(tested, ["a", "b"], "left_anti"), sets, "tested"))
+
+    tested = test(_small_candidates(_open_buckets(members.where(F.col("m") <= p.small), components(_near(tested, p)))))
+    large = _open_buckets(members.where(F.col("m") > p.small), components(_near(tested, p)))
+    tokens, counts = _counts(large, sets, p)
+    tested = test(_consensus_candidates(large, counts))
+    tested = test(_large_candidates(_open_buckets(large.select("h", "key", "m"), components(_near(tested, p))), tokens, counts, p))
+    return _near(tested, p)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearDuplicates | None = None) -> DataFrame:
@@ -253,6 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     p = params or NearDuplicates()
     spark = docs.sparkSession
+    ship(spark)
     base = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).withColumn("key", text_key(F.col("text")))
     texts = base.where("text is not null").select("key", "id", "text")
     schema = type(texts.schema)([f for f in texts.schema if f.name != "text"]).add("bands", T.ArrayType(T.LongType()))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from arbor.llm import minhash as m
 from arbor.llm import textbytes as tb
@@ -131,3 +132,26 @@ def test_links_that_both_centers_miss(spark):
             rows.append((len(rows), " ".join(words)))
     got = {r["doc_id"]: r["class_id"] for r in m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: c for (i, _), c in brute(rows).items()}
+
+
+def drifting(seed, groups=5, copies=30):
+    """Copies of copies: chains of edits, shared edits and lengths that differ, all within a few groups."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        made_so_far = [[f"g{g}w{i}" for i in range(rng.choice([60, 90, 120]))]]
+        for _ in range(copies):
+            words = list(rng.choice(made_so_far[-4:] + made_so_far[:2]))
+            for _ in range(rng.choice([0, 1, 1, 2, 4])):
+                at = rng.randrange(len(words))
+                words[at : at + rng.choice([0, 1, 1])] = [f"v{rng.randrange(6)}"] * rng.choice([0, 1, 1])
+            made_so_far.append(words)
+        rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate(made_so_far)]
+    return rows
+
+
+@pytest.mark.parametrize("small,rare", [(8, 8), (2, 2), (1, 1), (2, 30)])
+def test_large_buckets_lose_no_link(spark, small, rare):
+    rows = drifting(small + rare)
+    got = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), params=m.NearDuplicates(small=small, rare=rare)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: c for (i, _), c in brute(rows).items()}
