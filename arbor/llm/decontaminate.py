@@ -36,7 +36,7 @@ def _hash(words: Column, at: Column | int, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``(len, h, wins array<struct<win, items>>)``, one row for each length and hash.
+    """``(len, h, nth, win, items)``, one row for each window; nth counts windows of equal length and hash from 0.
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Items of
     null id or without words have none; rows of one id add up.
@@ -48,7 +48,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str = "item_id", text_col:
     h = F.lit(None).cast("long")
     for length in range(1, window + 1):
         h = F.when(F.col("len") == length, _hash(F.col("win"), 0, length)).otherwise(h)
-    return wins.groupBy("len", h.alias("h")).agg(F.collect_list(F.struct("win", "items")).alias("wins"))
+    return wins.groupBy("len", h.alias("h")).agg(F.collect_list(F.struct("win", "items")).alias("wins")).select("len", "h", F.posexplode("wins").alias("nth", "w")).select("len", "h", "nth", "w.*")
 
 
 def _probes(docs: DataFrame, lengths: list[int]) -> DataFrame:
@@ -72,16 +72,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_broad
     lengths = sorted(sizes) or [window]
     tokens = docs.select("id", F.coalesce(text_key(F.col("text")), F.lit(b"")).alias("key"), words_of(F.col("text")).alias("words"))
     probes = _probes(tokens, lengths)
+    # compiled expressions only, so that no row with the words of its document leaves the generated loop
     own = F.slice("words", F.col("pos") + 1, F.col("len"))
-    match = F.filter("wins", lambda x: x["win"] == own)
     if sum(sizes.values()) <= most_broadcast:
-        found = probes.join(F.broadcast(wins), ["len", "h"], "left").where("head or wins is not null")
-        found = found.select("id", "key", "n", "head", "pos", "len", F.get(match, F.lit(0))["items"].alias("items"))
+        head = F.col("head") & (F.coalesce("nth", F.lit(0)) == 0)
+        found = probes.join(F.broadcast(wins), ["len", "h"], "left").select("id", "key", "n", head.alias("head"), "pos", "len", F.when(F.col("win") == own, F.col("items")).alias("items"))
+        found = found.where("head or items is not null")
     else:  # the words of a window travel with its hash, and header rows apart
-        inner = probes.where("h is not null").withColumn("own", own).select("id", "key", "n", "len", "h", "pos", "own").join(wins, ["len", "h"])
-        inner = inner.select("id", "key", "n", F.lit(False).alias("head"), "pos", "len", F.get(F.filter("wins", lambda x: x["win"] == F.col("own")), F.lit(0))["items"].alias("items"))
+        inner = probes.where("h is not null").withColumn("own", own).select("id", "key", "n", "len", "h", "pos", "own").join(wins, ["len", "h"]).where("own = win")
+        inner = inner.select("id", "key", "n", F.lit(False).alias("head"), "pos", "len", "items")
         heads = tokens.select("id", "key", F.size("words").alias("n"), F.lit(True).alias("head"), F.lit(0).alias("pos"), F.lit(1).alias("len"), F.lit(None).cast("array<string>").alias("items"))
-        found = heads.unionByName(inner.where("items is not null"))
+        found = heads.unionByName(inner)
     at = F.when(F.col("items").isNotNull(), F.struct("pos", "len", "items"))
     by_doc = found.groupBy("id", "key").agg(F.first("n").alias("n_words"), F.sum(F.col("head").cast("long")).alias("copies"), F.collect_set(at).alias("at"))
     positions = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))))
@@ -121,8 +122,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     keyed = docs.withColumn(own, text_key(text))
     both = keyed.join(rows, quoted(id_col).eqNullSafe(F.col(rid)) & (F.col(own) == F.col(key)), "left").where(~F.coalesce(F.col(many), F.lit(False)))
     gaps, words = F.split(text, RAW_WORD, -1), F.regexp_extract_all(text, F.lit(RAW_WORD), F.lit(0))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(words) - 1), F.col(at))  # by hash: linear in the words
-    cut = F.concat(F.get(gaps, F.lit(0)), F.array_join(F.transform(stay, lambda i: F.concat(F.get(words, i), F.get(gaps, i + 1))), ""))
+
+    def kept(x: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(x["words"]) - 1), F.col(at))  # by hash: linear in the words
+        return F.concat(F.get(x["gaps"], F.lit(0)), F.array_join(F.transform(stay, lambda i: F.concat(F.get(x["words"], i), F.get(x["gaps"], i + 1))), ""))
+
+    # a lambda's variable is made once, while what stands inside the inner lambda is made for every word
+    cut = F.get(F.transform(F.array(F.struct(gaps.alias("gaps"), words.alias("words"))), kept), F.lit(0))
     return both.select(*(F.when(F.col(at).isNotNull(), cut).otherwise(quoted(c)).alias(c) if c == text_col else quoted(c) for c in docs.columns))
 
 

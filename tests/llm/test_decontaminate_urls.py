@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,12 @@ def test_reputation_shrinks_and_filters(spark):
     assert {r["host"]: r["bound"] for r in alike}["new.a.com"] > 0.95
     verdict = {r["host"]: r["verdict"] for r in u.url_verdicts(pages, outcomes).select(F.col("host"), "verdict").distinct().collect()}
     assert (verdict["good.a.com"], verdict["bad.b.com"]) == ("allow", "block")
+
+
+def test_cutting_is_linear_in_the_text(spark):
+    item = "z1 z2 z3 z4 z5 z6 z7 z8"
+    text = " ".join(f"w{i}" if i % 40 else item for i in range(200_000))
+    docs = spark.createDataFrame([(1, text, "a", "b", "c")], DOCS)
+    began = time.time()
+    out = d.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).first()["text"]
+    assert out.split() == [f"w{i}" for i in range(200_000) if i % 40] and time.time() - began < 60
