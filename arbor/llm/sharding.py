@@ -6,6 +6,7 @@ shards). A changed weight alters the draws of the nodes above it alone, so rows
 out of those that lose it; a new region takes rows only into itself. The tree is a literal of the plan.
 
 Slots are counted in two steps, in hash buckets of a shard and over the counts of the buckets, so that no task sorts a shard.
+The counts of all buckets, max(BUCKETS, shards) rows at most whatever the input, are broadcast.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbor.llm.common import quoted
+from arbor.llm.common import materialize, quoted
 
-#: Hash buckets of a shard in which slots are counted.
-BUCKETS = 4096
+#: Hash buckets in which slots are counted, shared out among the shards (one at least to each). Their counts are broadcast.
+BUCKETS = 98_304
 
 
 @dataclass(frozen=True)
@@ -88,10 +89,12 @@ def assign(docs: DataFrame, tree: tuple[Shard, ...] | None = None, grown: tuple[
     grown = grown or with_new_region(tree)
     text = F.coalesce(quoted(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(quoted(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("crc"))
-    rows = rows.select("*", shard_of(F.col("id"), tree).alias("shard"), shard_of(F.col("id"), grown).alias("grown"), F.pmod(F.xxhash64("id", "crc", "size"), F.lit(BUCKETS)).alias("bucket"))
-    rows = rows.groupBy("shard", "bucket", "id", "crc", "size", "grown").agg(F.count("*").alias("copies"))
+    bucket = F.pmod(F.xxhash64("id", "crc", "size"), F.lit(max(1, BUCKETS // len(tree))))
+    rows = rows.select("*", shard_of(F.col("id"), tree).alias("shard"), shard_of(F.col("id"), grown).alias("grown"), bucket.alias("bucket"))
+    # stored, so that texts are read once: a few bytes a row
+    rows = materialize(rows.groupBy("shard", "bucket", "id", "crc", "size", "grown").agg(F.count("*").alias("copies")), "sized")
     counts = rows.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows of a shard at most
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a shard's buckets at most
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("slot0"))
     inside = Window.partitionBy("shard", "bucket").orderBy("id", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("slot1", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(F.broadcast(offsets), ["shard", "bucket"])
