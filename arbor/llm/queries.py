@@ -98,4 +98,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
     "op2_url_filter": urls.SQL,
     "op5_perspectives": chat.SQL,
+    "op8_secrets": secrets.SQL,
 }

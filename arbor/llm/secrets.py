@@ -45,27 +45,30 @@ _PARTS = (
 ).split()
 
 
+SAMPLES = 2000
+
+
 def default_samples(spark: SparkSession) -> DataFrame:
     """``(text, random boolean)``: base64 and hexadecimal digests against compounds of common words in usual spellings.
 
-    Made by SQL from fixed seeds, 2,000 rows of each kind.
+    Made by SQL from the digests of row numbers, SAMPLES rows of each kind.
     """
     w = F.array(*map(F.lit, _PARTS))
-    n = len(_PARTS)
     i = F.col("id")
-    pick = [F.get(w, F.pmod(F.xxhash64(i, F.lit(k)), F.lit(n)).cast("int")) for k in range(4)]
-    style = F.pmod(F.xxhash64(i, F.lit(9)), F.lit(6))
+    drawn = lambda k, n: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", i.cast("string"), F.lit(str(k))).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
+    pick = [F.get(w, drawn(k, len(_PARTS))) for k in range(4)]
+    style = drawn(9, 6)
     ordinary = (
         F.when(style == 0, F.concat_ws("_", *pick))
         .when(style == 1, F.concat(pick[0], *map(F.initcap, pick[1:])))
         .when(style == 2, F.concat(*map(F.initcap, pick)))
-        .when(style == 3, F.concat_ws("-", *pick[:3], (F.pmod(F.xxhash64(i, F.lit(8)), F.lit(30)) + 2000).cast("string")))
+        .when(style == 3, F.concat_ws("-", *pick[:3], (drawn(8, 30) + 2000).cast("string")))
         .when(style == 4, F.upper(F.concat_ws("_", *pick[:3])))
         .otherwise(F.concat_ws("/", *pick))
     )
     digest = F.sha2(i.cast("string").cast("binary"), 256)
     random = F.when(i % 4 == 0, F.substring(digest, 1, 40)).otherwise(F.translate(F.base64(F.unhex(digest)), "=", ""))
-    ids = spark.range(2000)
+    ids = spark.range(SAMPLES)
     return ids.select(ordinary.alias("text"), F.lit(False).alias("random")).unionByName(ids.select(random.alias("text"), F.lit(True).alias("random")))
 
 
@@ -77,7 +80,7 @@ def train(samples: DataFrame, p: RandomTokens | None = None) -> list[float]:
     """
     p = p or RandomTokens()
     k = len(ALPHABET)
-    runs = samples.where("text is not null and random is not null").select("random", F.explode(F.sequence(F.lit(1), F.greatest(F.length("text") - 1, F.lit(1)))).alias("i"), "text")
+    runs = samples.where("length(text) > 1 and random is not null").select("random", F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("i"), "text")
     pairs = runs.select("random", F.expr(f"instr('{ALPHABET}', substr(text, i, 1))").alias("a"), F.expr(f"instr('{ALPHABET}', substr(text, i + 1, 1))").alias("b"))
     counts = {(r["random"], r["a"] - 1, r["b"] - 1): r["n"] for r in pairs.where("a > 0 and b > 0").groupBy("random", "a", "b").agg(F.count("*").alias("n")).collect()}
     out = []
@@ -157,3 +160,61 @@ def report(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col
     rows = scan(docs, table, id_col, text_col, p)
     count = lambda k: F.size(F.filter("all", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return rows.select(id_col, *map(count, range(4)), F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.col("all")).alias("spans"))
+
+
+_P = RandomTokens()
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_pattern(pattern: str) -> str:
+    """The pattern with classes of both cases instead of a flag, which SQL engines understand in more than ASCII."""
+    head, found, rest = pattern.partition("(?i:")
+    words, _, tail = rest.partition(")")
+    return _quote(head + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words) + tail if found else pattern)
+
+
+def _sql_spans(name: str, pattern: str, kind: int, group: int = 0) -> str:
+    """CTE of the matches of a pattern: rid, kind, start and stop in characters, hit, and the length of a group."""
+    p = _sql_pattern(pattern)
+    return f"""{name}_m AS (SELECT rid, regexp_extract_all(text, {p}, 0) AS hits, regexp_extract_all(text, {p}, {group}) AS parts, list_transform(string_split_regex(text, {p}), lambda x: length(x)) AS gaps FROM d WHERE regexp_matches(text, {p})),
+{name} AS (SELECT rid, {kind} AS kind, stop - length(hit) AS start, stop, hit, part FROM (
+  SELECT rid, hits[i] AS hit, length(parts[i]) AS part, CAST(list_sum(gaps[1:i]) + list_sum(list_transform(hits[1:i], lambda x: length(x))) AS BIGINT) AS stop FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM {name}_m)))"""
+
+
+_WORD = "w[1 + CAST('0x' || substr(md5(id || ':{k}'), 1, 8) AS BIGINT) % {n}]"
+_PICK = [_WORD.format(k=k, n=len(_PARTS)) for k in range(4)]
+_DRAW = "(CAST('0x' || substr(md5(id || ':{k}'), 1, 8) AS BIGINT) % {n})"
+_TITLE = [f"upper(substr({x}, 1, 1)) || substr({x}, 2)" for x in _PICK]
+_CODE = f"strpos('{ALPHABET}', substr(text, {{at}}, 1))"
+#: DuckDB SQL of the query's columns, with the training of the Markov models.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+ids AS (SELECT range AS id, [{", ".join(map(_quote, _PARTS))}] AS w FROM range({SAMPLES})),
+samples AS (
+  SELECT FALSE AS random, CASE {_DRAW.format(k=9, n=6)} WHEN 0 THEN {" || '_' || ".join(_PICK)} WHEN 1 THEN {_PICK[0]} || {" || ".join(_TITLE[1:])} WHEN 2 THEN {" || ".join(_TITLE)}
+    WHEN 3 THEN {" || '-' || ".join(_PICK[:3])} || '-' || ({_DRAW.format(k=8, n=30)} + 2000) WHEN 4 THEN upper({" || '_' || ".join(_PICK[:3])}) ELSE {" || '/' || ".join(_PICK)} END AS text FROM ids
+  UNION ALL SELECT TRUE, CASE WHEN id % 4 = 0 THEN substr(sha256(CAST(id AS VARCHAR)), 1, 40) ELSE replace(base64(unhex(sha256(CAST(id AS VARCHAR)))), '=', '') END FROM ids),
+seen AS (SELECT random, {_CODE.format(at="i")} AS a, {_CODE.format(at="i + 1")} AS b FROM (SELECT random, text, unnest(range(1, length(text))) AS i FROM samples)),
+counts AS (SELECT random, a, b, count(*) AS n FROM seen WHERE a > 0 AND b > 0 GROUP BY ALL),
+cells AS (SELECT * FROM (SELECT unnest([TRUE, FALSE]) AS random), (SELECT unnest(range(1, {len(ALPHABET) + 1})) AS a), (SELECT unnest(range(1, {len(ALPHABET) + 1})) AS b)),
+smooth AS (SELECT random, a, b, coalesce(n, 0) + {_P.smoothing}::DOUBLE AS n FROM cells LEFT JOIN counts USING (random, a, b)),
+share AS (SELECT random, a, b, log2(n / sum(n) OVER (PARTITION BY random, a)) AS bits FROM smooth),
+ratio AS (SELECT a, b, round(sum(CASE WHEN random THEN bits ELSE -bits END), 4) AS r FROM share GROUP BY a, b),
+{_sql_spans("m0", ASSIGN, 0, 2)},
+{_sql_spans("m1", ACCESS, 1)},
+{_sql_spans("m2", HEX, 2)},
+{_sql_spans("m3", _P.pattern, 3)},
+base AS (SELECT rid, kind, start, stop FROM m0 WHERE part >= 12 UNION ALL SELECT rid, kind, start, stop FROM m1 UNION ALL SELECT rid, kind, start, stop FROM m2),
+token AS (SELECT rid, start, stop, hit AS text FROM m3 WHERE regexp_matches(hit, '[0-9]')),
+step AS (SELECT rid, start, stop, {_CODE.format(at="i")} AS a, {_CODE.format(at="i + 1")} AS b FROM (SELECT *, unnest(range(1, length(text))) AS i FROM token)),
+likely AS (SELECT rid, start, stop FROM step JOIN ratio USING (a, b) GROUP BY rid, start, stop HAVING avg(r) >= {_P.ratio}),
+spans AS (SELECT * FROM base UNION ALL SELECT l.rid, 3, l.start, l.stop FROM likely l WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = l.rid AND b.start < l.stop AND l.start < b.stop)),
+line AS (SELECT rid, kind, start, [{", ".join(map(_quote, KINDS))}][kind + 1] || ':' || start || ':' || stop AS t FROM spans),
+found AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(KINDS))},
+  string_agg(t, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(t, ',' ORDER BY start, kind) AS spans FROM line GROUP BY rid)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{name}, 0) AS BIGINT) AS n_{name}" for name in KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN found USING (rid)
+"""
