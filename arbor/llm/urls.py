@@ -4,7 +4,7 @@ Outcomes of labelled pages are counted by host and shrunk in three levels: the s
 towards the overall share, a registered domain towards its suffix and a host towards its domain, each through a beta prior
 whose strength is estimated from how much the groups of that level differ (moments of the beta-binomial). A page without a
 rule is allowed where the lower posterior bound of its host reaches a threshold. All of it is DataFrame aggregation over
-one row per host; only three strengths come to the driver.
+one row per host, stored once; only the overall share and three strengths come to the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbor.llm.common import fresh, quoted
+from arbor.llm.common import fresh, materialize, quoted
 from arbor.llm.decontaminate import LOWER, UPPER
 
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -80,10 +80,15 @@ def _strength(groups: DataFrame, parent_mean: Column, p: Reputation) -> float:
     return float(f"{min(p.strongest, max(p.weakest, 1 / rho - 1 if rho > 0 else p.strongest)):.6g}")
 
 
-def _shrunk(level: DataFrame, parents: DataFrame, key: str, p: Reputation) -> tuple[DataFrame, float]:
-    joined = level.join(parents, key, "left").withColumn("prior", F.coalesce("prior", F.lit(0.5)))
-    k = _strength(joined, F.col("prior"), p)
-    return joined.withColumn("mean", (F.col("s") + k * F.col("prior")) / (F.col("n") + k)), k
+def _shrunk(level: DataFrame, p: Reputation) -> tuple[DataFrame, float]:
+    """``level(n, s, prior)`` with its mean, and the strength of the prior."""
+    k = _strength(level, F.col("prior"), p)
+    return level.withColumn("mean", (F.col("s") + k * F.col("prior")) / (F.col("n") + k)), k
+
+
+def _below(level: DataFrame, parents: DataFrame, key: str) -> DataFrame:
+    """``level`` with the means of its parents as prior."""
+    return level.join(parents.select(key, F.col("mean").alias("prior")), key)
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", p: Reputation | None = None) -> DataFrame:
@@ -96,13 +101,13 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_i
     seen = seen.groupBy("id").agg(F.count("*").alias("n"), F.sum("good").alias("s"))
     each = pages.select(quoted(id_col).alias("id"), host_of(quoted(url_col).cast("string")).alias("host")).join(seen, "id", "left")
     hosts = each.groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("s"), F.lit(0)).alias("s"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = materialize(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("all", F.lit(0))
-    total = suffixes.groupBy("all").agg(((F.sum("s") + 0.5) / (F.sum("n") + 1)).alias("prior"))
-    by_suffix, _ = _shrunk(suffixes, total, "all", p)
-    by_domain, _ = _shrunk(domains, by_suffix.select("suffix", F.col("mean").alias("prior")), "suffix", p)
-    by_host, k = _shrunk(hosts, by_domain.select("domain", F.col("mean").alias("prior")), "domain", p)
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    total = suffixes.agg(F.coalesce((F.sum("s") + 0.5) / (F.sum("n") + 1), F.lit(0.5))).first()[0]
+    by_suffix, _ = _shrunk(suffixes.withColumn("prior", F.lit(total)), p)
+    by_domain, _ = _shrunk(_below(domains, by_suffix, "suffix"), p)
+    by_host, k = _shrunk(_below(hosts, by_domain.drop("suffix"), "domain"), p)
     a, b = F.col("s") + k * F.col("prior"), F.col("n") - F.col("s") + k * (1 - F.col("prior"))
     bound = 1 / (1 + F.exp(-(F.log(a / b) - p.z * F.sqrt(1 / a + 1 / b))))
     return by_host.select("host", "n", "s", bound.alias("bound"))
