@@ -111,10 +111,15 @@ def _spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
 def _ratio(token: Column, table: Column) -> Column:
     """Bits per pair of characters of a token in favour of a random string."""
     k = len(ALPHABET)
-    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    codes = F.filter(codes, lambda c: c > 0)
-    pair = F.transform(F.sequence(F.lit(0), F.size(codes) - 2), lambda i: F.get(table, (F.get(codes, i) - 1) * k + F.get(codes, i + 1) - 1))
-    return F.aggregate(pair, F.lit(0.0), lambda a, x: a + x) / (F.size(codes) - 1)
+    codes = F.filter(F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c)), lambda c: c > 0)
+    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("bits"), F.lit(0).alias("n"))  # one pass: the code before is carried along
+
+    def step(acc: Column, c: Column) -> Column:
+        first = acc["last"] == 0
+        bits = F.when(first, F.lit(0.0)).otherwise(F.get(table, (acc["last"] - 1) * k + c - 1))
+        return F.struct(c.alias("last"), (acc["bits"] + bits).alias("bits"), (acc["n"] + F.when(first, 0).otherwise(1)).alias("n"))
+
+    return F.aggregate(codes, start, step, lambda acc: acc["bits"] / F.nullif(acc["n"], F.lit(0)))
 
 
 def spans(text: Column, table: list[float], p: RandomTokens | None = None) -> tuple[Column, Column]:
