@@ -65,48 +65,67 @@ def _ppm(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
     return np.where(total == 0, lower, np.where(counts > 0, own, escape + lower))
 
 
+def _grams(texts: list[np.ndarray], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of four symbols in a row and how often they occur, counted in blocks of texts. Symbol 0 precedes every text."""
+    a = int(symbol.max()) + 1
+    kinds, counts, block, size = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [], 0
+    for i, text in enumerate(texts):
+        block.append(text)
+        size += len(text) + 3
+        if size < tb.BLOCK and i + 1 < len(texts):
+            continue
+        runs = [np.concatenate([np.zeros(3, dtype=np.int32), symbol[t].astype(np.int32)]) for t in block]
+        s = np.concatenate(runs)
+        g = ((s[:-3] * np.int32(a) + s[1:-2]) * np.int32(a) + s[2:-1]) * np.int32(a) + s[3:]
+        keep = np.ones(len(g), dtype=bool)  # no gram reaches from one text into the next
+        ends = np.cumsum([len(r) for r in runs])[:-1]
+        for j in (1, 2, 3):
+            keep[ends - j] = False
+        found, n = np.unique(g[keep], return_counts=True)
+        kinds.append(found.astype(np.int64))
+        counts.append(n)
+        block, size = [], 0
+    merged, at = np.unique(np.concatenate(kinds), return_inverse=True)
+    return merged, np.bincount(at, weights=np.concatenate(counts), minlength=len(merged))
+
+
 def fit(texts: list[str], langs: list[str], bounds: TrainingBounds | None = None) -> ContextTrees:
     """Context trees of labelled texts. Without any text the model has no language and predicts ``und``."""
     b = bounds or TrainingBounds()
+    if not 3 <= b.symbols <= 200:
+        raise ValueError("symbols must be from 3 to 200: a code of four fits 32 bits")
     languages = sorted(set(langs))
     data = [np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8) for t in texts]
-    seen = np.bincount(np.concatenate([np.zeros(0, dtype=np.uint8), *data]), minlength=256)
+    seen = sum((np.bincount(d, minlength=256) for d in data), np.zeros(256, dtype=np.int64))
     order = np.lexsort((np.arange(256), -seen))
     used = [int(x) for x in order if seen[x]][: b.symbols - 2]
     symbol = np.full(256, 1, dtype=np.uint8)
     symbol[used] = np.arange(2, 2 + len(used))
     a = 2 + len(used)
-    grams = []
-    for lang in languages:
-        runs = [np.concatenate([np.zeros(3, dtype=np.int64), symbol[d].astype(np.int64)]) for d, x in zip(data, langs, strict=True) if x == lang]
-        s = np.concatenate(runs)
-        g = ((s[:-3] * a + s[1:-2]) * a + s[2:-1]) * a + s[3:]
-        keep = np.ones(len(g), dtype=bool)  # no gram reaches from one text into the next
-        ends = np.cumsum([len(r) for r in runs])[:-1]
-        for j in (1, 2, 3):
-            keep[ends - j] = False
-        grams.append(g[keep])
+    grams = [_grams([d for d, x in zip(data, langs, strict=True) if x == lang], symbol) for lang in languages]
     spare = np.log2(a)
-    order2, tops = [], []
-    for g in grams:
-        c2 = np.bincount(g % a**3, minlength=a**3).reshape(a, a, a)
-        c1, c0 = c2.sum(axis=0), c2.sum(axis=(0, 1))
-        o0 = _ppm(c0[None, :], np.full((1, a), spare))
-        o1 = _ppm(c1, np.broadcast_to(o0, (a, a)))
-        order2.append(_ppm(c2.reshape(a * a, a), np.tile(o1, (a, 1))))
-        tops.append(np.unique(g // a, return_counts=True))
-    kinds, inverse = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(t[0] for t in tops)]), return_inverse=True)
-    weight = np.bincount(inverse, weights=np.concatenate([np.zeros(0), *(t[1] for t in tops)]), minlength=len(kinds)) if len(kinds) else np.zeros(0)
+    contexts = np.concatenate([np.zeros(0, dtype=np.int64), *(kinds // a for kinds, _ in grams)])
+    kinds, at = np.unique(contexts, return_inverse=True)
+    weight = np.bincount(at, weights=np.concatenate([np.zeros(0), *(n for _, n in grams)]), minlength=len(kinds)) if len(kinds) else np.zeros(0)
     chosen = np.sort(kinds[np.lexsort((kinds, -weight))[: b.contexts]])
     row = np.tile(np.arange(a * a, dtype=np.int32), a)
     row[chosen] = a * a + np.arange(len(chosen), dtype=np.int32)
     costs = np.zeros((a * a + len(chosen), a, max(1, len(languages))), dtype=np.int16)
-    for i, g in enumerate(grams):
-        costs[: a * a, :, i] = np.rint(order2[i] * SCALE)
-        at = np.searchsorted(chosen, g // a)
-        inside = (at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == g // a) if len(chosen) else np.zeros(len(g), dtype=bool)
-        c3 = np.bincount(at[inside] * a + g[inside] % a, minlength=len(chosen) * a).reshape(len(chosen), a)
-        costs[a * a :, :, i] = np.rint(_ppm(c3, order2[i][chosen % (a * a)]) * SCALE)
+    for i, (kinds, n) in enumerate(grams):
+        c2 = np.bincount(kinds % a**3, weights=n, minlength=a**3).reshape(a, a, a)
+        c1, c0 = c2.sum(axis=0), c2.sum(axis=(0, 1))
+        o0 = _ppm(c0[None, :], np.full((1, a), spare))
+        o1 = _ppm(c1, np.broadcast_to(o0, (a, a)))
+        for k in range(a):  # contexts of order 2, by the first of their symbols
+            costs[k * a : (k + 1) * a, :, i] = np.rint(_ppm(c2[k], o1) * SCALE)
+        at = np.searchsorted(chosen, kinds // a)
+        inside = (at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == kinds // a) if len(chosen) else np.zeros(len(kinds), dtype=bool)
+        c3 = np.bincount(at[inside] * a + kinds[inside] % a, weights=n[inside], minlength=len(chosen) * a).reshape(len(chosen), a)
+        first, second = chosen // a % a, chosen % a
+        for lo in range(0, len(chosen), 1024):
+            part = slice(lo, lo + 1024)
+            below = np.stack([_ppm(c2[x, y][None, :], o1[y][None, :])[0] for x, y in zip(first[part], second[part], strict=True)])
+            costs[a * a + lo : a * a + lo + len(below), :, i] = np.rint(_ppm(c3[part], below) * SCALE)
     return ContextTrees(languages, symbol, row, costs.reshape(-1, max(1, len(languages))))
 
 

@@ -280,10 +280,10 @@ def links(unique: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
     def test(candidates: DataFrame) -> DataFrame:
         return tested.unionByName(_verified(candidates.join(tested, ["a", "b"], "left_anti"), sets, "tested"))
 
-    tested = test(_small_candidates(_open_buckets(members.where(F.col("m") <= p.small), components(_near(tested, p)))))
-    large = _open_buckets(members.where(F.col("m") > p.small), components(_near(tested, p)))
+    open_ = _open_buckets(members, components(_near(tested, p)))
+    large = open_.where(F.col("m") > p.small)
     tokens, counts = _counts(large, sets, p)
-    tested = test(_consensus_candidates(large, counts))
+    tested = test(_small_candidates(open_.where(F.col("m") <= p.small)).unionByName(_consensus_candidates(large, counts)).distinct())
     tested = test(_large_candidates(_open_buckets(large.select("h", "key", "m"), components(_near(tested, p))), tokens, counts, p))
     return _near(tested, p)
 
@@ -309,15 +309,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = components(found)
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     node = degree.join(comp, "node", "left").select(F.col("node").alias("key"), F.coalesce("root", "node").alias("root"), "links")
-    light = base.select("id", "key").groupBy("id", "key").agg(F.count("*").alias("n"))
-    placed = light.join(node, "key", "left").withColumn("root", F.coalesce("root", "key")).withColumn("links", F.coalesce("links", F.lit(0).cast("long")))
-    placed = spark.read.parquet(write_shared(placed, "placed"))
+    # by row, by text, by class: each is stored, so that joins back are between two plain shuffles, of which Spark splits a hot key
+    light = materialize(base.groupBy("id", "key").agg(F.count("*").alias("n")), "light")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
-    classes = placed.where("key is not null").groupBy("root").agg(first.alias("first"), F.sum("n").alias("class_size"))
-    known = placed.where("key is not null").join(classes, "root")
+    by_text = light.where("key is not null").groupBy("key").agg(first.alias("first"), F.sum("n").alias("n")).join(node, "key", "left")
+    by_text = materialize(by_text.select("key", "first", "n", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "texts")
+    classes = materialize(by_text.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("class_size")), "classes")
+    by_text = materialize(by_text.select("key", "root", "links").join(classes, "root").drop("root"), "classed")
+    known = light.where("key is not null").join(by_text, "key")
     keep = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
     known = known.select("id", "key", F.col("first.id").alias("class_id"), "class_size", "links", keep.alias("keep"), "n")
-    none = placed.where("key is null").select("id", "key", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "links", F.lit(True).alias("keep"), "n")
+    none = light.where("key is null").select("id", "key", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("keep"), "n")
     rows = known.unionByName(none).withColumn("_", F.explode(F.expr("array_repeat(0, cast(n as int))"))).drop("_", "n")
     return rows.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), "class_id", "class_size", "links", "keep")
 

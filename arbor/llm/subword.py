@@ -87,20 +87,24 @@ def train(texts: list[str], labels: list[str], p: SubwordTraining | None = None)
         return SubwordModel(classes, np.zeros((p.buckets, len(classes)), dtype=np.int64), np.zeros(len(classes)), p.grams)
     rng = np.random.default_rng(p.seed)
     target = np.array([classes.index(x) for x in labels])
-    docs = []
+    # features of all texts in two large arrays, which go back to the system when they are freed
+    kinds_of, share_of, ends = np.empty(1 << 20, dtype=np.uint16 if p.buckets <= 1 << 16 else np.int32), np.empty(1 << 20, dtype=np.float32), [0]
     for t in texts:
         raw = np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8)
         ids = np.concatenate([f for f, _ in features(raw, np.array([0, len(raw)]), p.grams, p.buckets)])
         kinds, n = np.unique(ids, return_counts=True)
-        docs.append((kinds, (n / max(1, len(ids))).astype(np.float32)[:, None]))
+        ends.append(ends[-1] + len(kinds))
+        while ends[-1] > len(kinds_of):
+            kinds_of, share_of = (np.concatenate([x, np.empty_like(x)]) for x in (kinds_of, share_of))
+        kinds_of[ends[-2] : ends[-1]], share_of[ends[-2] : ends[-1]] = kinds, n / max(1, len(ids))
     vectors = rng.uniform(-1 / p.dims, 1 / p.dims, (p.buckets, p.dims)).astype(np.float32)
     output = np.zeros((len(classes), p.dims), dtype=np.float32)
     prior = np.bincount(target, minlength=len(classes)) / len(target)
     bias = np.log(prior).astype(np.float32)
-    steps, done = p.epochs * len(docs), 0
+    steps, done = p.epochs * len(texts), 0
     for _ in range(p.epochs):
-        for i in rng.permutation(len(docs)):
-            ids, w = docs[i]
+        for i in rng.permutation(len(texts)):
+            ids, w = kinds_of[ends[i] : ends[i + 1]], share_of[ends[i] : ends[i + 1], None]
             rate = p.rate * (1 - done / steps)
             done += 1
             if not len(ids):
