@@ -112,6 +112,6 @@ def bin_by_search(value: Column, thresholds: list[float], dialect: str = "distri
 
 def binned(features: Column, thresholds: Thresholds, dialect: str = "distributed") -> Column:
     """Bins of an array of feature values. While all features have few thresholds in total, they are searched by conditions."""
-    few = sum(map(len, thresholds)) <= MOST_CONDITIONS
+    few = sum(map(len, thresholds)) <= MOST_CONDITIONS and max(map(len, thresholds), default=0) <= 255
     of = (lambda v, t: bin_by_search(v, t, dialect)) if few else (lambda v, t: bin_of(v, array_literal(t, "double"), dialect))
     return F.array(*(of(F.get(features, F.lit(f)), t) for f, t in enumerate(thresholds)))
