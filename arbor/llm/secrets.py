@@ -1,7 +1,9 @@
 """Secret scans with DataFrame functions only: three fixed patterns, and tokens that look drawn at random.
 
 Character Markov models of random strings and of ordinary identifiers are counted from labelled samples. A token is random
-if the log-likelihood ratio of its characters, in bits per character, reaches a threshold. Spans come from splitting a text
+if the log-likelihood ratio of its characters, in bits per character, reaches a threshold. Where a whole run of characters
+doesn't, or meets a fixed pattern, its stretches of the highest ratio are judged instead, so that a random string is found
+after a name or in a path too. Spans come from splitting a text
 by a pattern: what lies between and within the matches gives their places, without a function that reports positions.
 """
 
@@ -26,11 +28,12 @@ _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 @dataclass(frozen=True)
 class RandomTokens:
     """length: least characters of a token; ratio: least bits per character in favour of a random string; smoothing: added
-    to every count of a pair of characters."""
+    to every count of a pair of characters; drop: a stretch ends where its bits fall so far below their highest sum."""
 
     length: int = 20
     ratio: float = 1.0
     smoothing: float = 0.5
+    drop: float = 15.0
 
     @property
     def pattern(self) -> str:
@@ -122,26 +125,77 @@ def _ratio(token: Column, table: Column) -> Column:
     return F.aggregate(codes, start, step, lambda acc: acc["bits"] / F.nullif(acc["n"], F.lit(0)))
 
 
+def _stretches(token: Column, table: Column, p: RandomTokens) -> Column:
+    """Stretches (start, stop, bits) of a token of ALPHABET that have as many bits as the shortest random token, and the ratio.
+
+    The bits are summed up from left to right. A stretch ends at its highest sum, and the next one begins where the sum falls to
+    0 or by ``drop``, so several random strings in a token are found one by one.
+    """
+    k = len(ALPHABET)
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    codes = F.filter(codes, lambda c: c > 0)
+    bits = F.zip_with(codes, F.slice(codes, 2, F.length(token)), lambda a, b: F.coalesce(F.get(table, (a - 1) * k + b - 1), F.lit(0.0)))  # 0 for the last, which has no successor
+    found = "array<struct<start:int,stop:int,bits:double>>"
+    names = ("at", "start", "stop", "sum", "best", "out")
+    begin = F.struct(*(x.alias(n) for n, x in zip(names, (F.lit(0), F.lit(0), F.lit(0), F.lit(0.0), F.lit(0.0), F.array().cast(found)), strict=True)))
+
+    def closed(acc: Column) -> Column:
+        fits = (acc["best"] >= p.ratio * (p.length - 1)) & (acc["best"] >= p.ratio * (acc["stop"] - acc["start"] - 1))
+        return F.when(fits, F.array_append(acc["out"], F.struct(acc["start"], acc["stop"], acc["best"].alias("bits")))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        s, at = acc["sum"] + x, acc["at"] + 1
+        state = lambda *v: F.struct(*(c.alias(n) for n, c in zip(names, v, strict=True)))
+        anew = state(at, at, at, F.lit(0.0), F.lit(0.0), closed(acc))
+        higher = s > acc["best"]
+        on = state(at, acc["start"], F.when(higher, at + 1).otherwise(acc["stop"]), s, F.when(higher, s).otherwise(acc["best"]), acc["out"])
+        return F.when((s <= 0) | (s < acc["best"] - p.drop), anew).otherwise(on)
+
+    return F.aggregate(bits, begin, step, closed)
+
+
+def _parts(token: Column, table: Column, p: RandomTokens) -> Column:
+    """Places (start, stop) in a token of its random stretches, each up to the separators around it; those that meet are one."""
+    cut = lambda s: F.substring(token, s["start"] + 1, s["stop"] - s["start"])
+    random = F.filter(_stretches(token, table, p), lambda s: cut(s).rlike("[0-9]"))
+    before = lambda s: F.length(F.regexp_extract(F.substring(token, F.lit(1), s["start"]), "[A-Za-z0-9+]*$", 0))
+    after = lambda s: F.length(F.regexp_extract(F.substring(token, s["stop"] + 1, F.length(token)), "^[A-Za-z0-9+]*", 0))
+    wide = F.transform(random, lambda s: F.struct((s["start"] - before(s)).alias("start"), (s["stop"] + after(s)).alias("stop")))
+
+    def join(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        one = F.struct(F.least(last["start"], s["start"]).alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
+        return F.when(s["start"] <= last["stop"], F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), one)).otherwise(F.array_append(acc, s))
+
+    return F.aggregate(wide, F.array().cast("array<struct<start:int,stop:int>>"), join)
+
+
 def spans(text: Column, table: list[float], p: RandomTokens | None = None) -> tuple[Column, Column]:
-    """(base spans, all spans) of a text as sorted arrays of (start, kind, stop); none for null.
+    """(base spans, runs) of a text; none for null. Base spans are sorted (start, kind, stop).
 
-    A random token is added only where it overlaps no base span.
+    A run of token characters has its span, whether it is random as a whole, and the spans of its random parts.
     """
     p = p or RandomTokens()
     text = F.coalesce(text, F.lit(""))
     base = F.array_sort(F.concat(_spans(text, ASSIGN, 0, 12), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
     ratios = F.array(*map(F.lit, table))
     token = lambda s: F.substring(text, s["start"] + 1, s["stop"] - s["start"])
-    likely = F.filter(_spans(text, p.pattern, 3), lambda s: token(s).rlike("[0-9]") & (_ratio(token(s), ratios) >= p.ratio))
-    return base, likely
+    span = lambda at, s: F.struct((at + s["start"]).alias("start"), F.lit(3).alias("kind"), (at + s["stop"]).alias("stop"))
+    parts = lambda s: F.transform(_parts(token(s), ratios, p), lambda x: span(s["start"], x))
+    random = lambda s: token(s).rlike("[0-9]") & (_ratio(token(s), ratios) >= p.ratio)
+    return base, F.transform(_spans(text, p.pattern, 3), lambda s: F.struct(s.alias("span"), random(s).alias("whole"), parts(s).alias("parts")))
 
 
 def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text", p: RandomTokens | None = None) -> DataFrame:
-    """One row per row of ``docs``: id, base and all (arrays of (start, kind, stop), kind an index of KINDS)."""
-    base, likely = spans(quoted(text_col).cast("string"), table, p)
-    rows = docs.select(quoted(id_col).alias(id_col), base.alias("base"), likely.alias("likely"))
-    clear = F.filter("likely", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return rows.select(id_col, "base", F.array_sort(F.concat(F.col("base"), clear)).alias("all"))
+    """One row per row of ``docs``: id, base and all (arrays of (start, kind, stop), kind an index of KINDS).
+
+    A random token is added only where it overlaps no base span: the whole run, or else its random parts.
+    """
+    base, runs = spans(quoted(text_col).cast("string"), table, p)
+    rows = docs.select(quoted(id_col).alias(id_col), base.alias("base"), runs.alias("runs"))
+    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    likely = F.transform("runs", lambda r: F.when(r["whole"] & clear(r["span"]), F.array(r["span"])).otherwise(F.filter(r["parts"], clear)))
+    return rows.select(id_col, "base", F.array_sort(F.concat(F.col("base"), F.flatten(likely))).alias("all"))
 
 
 def rendered(spans_col: Column) -> Column:

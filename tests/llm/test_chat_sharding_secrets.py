@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from arbor.llm import chat, secrets, sharding
 
@@ -152,6 +153,28 @@ def test_markov_models_separate_held_out_samples(spark):
     assert set(secrets.train(samples.where("false"))) == {0.0}
 
 
+AWS = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+
+
+def test_random_parts_of_a_run(spark):
+    table = secrets.train(secrets.default_samples(spark))
+    rng = random.Random(3)
+    drawn = lambda n: "".join(rng.choice(secrets.ALPHABET[:62]) for _ in range(n))
+    heads = ["aws_secret_access_key=", "DATABASE_CONNECTION_KEY=", "client_credentials/production/"]
+    rows = [(h + x, len(h), len(h) + len(x)) for h in heads for n in (20, 32, 40) for x in (drawn(n) for _ in range(30))]
+    df = spark.createDataFrame([(i, f"é {t} end") for i, (t, *_) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x] for r in secrets.report(df, table).collect()}
+    whole = [any(a <= start + 2 and stop + 2 <= b for a, b in got[i]) for i, (_, start, stop) in enumerate(rows)]
+    assert sum(whole) >= 0.95 * len(rows)
+    known = [
+        (f"aws_secret_access_key={AWS}", "random:22:62"),
+        (f"first/{RANDOM_TOKEN}/manager_configuration_list/{RANDOM_TOKEN}", "random:6:38,random:58:82"),  # one bit over the separator takes the word
+        ("client_credentials/production/account_manager_2024", ""),
+    ]
+    df = spark.createDataFrame(known, "text string, want string").withColumn("doc_id", F.monotonically_increasing_id())
+    assert {r["text"]: r["spans"] for r in secrets.report(df, table).join(df, "doc_id").select("text", "spans").collect()} == dict(known)
+
+
 def test_redaction(spark):
     from pyspark.sql import functions as F
 
