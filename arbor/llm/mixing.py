@@ -22,11 +22,13 @@ from arbor.llm.common import fresh, materialize, quoted
 
 @dataclass(frozen=True)
 class Mix:
-    """targets: share of the tokens by domain, nonnegative, of which domains without one have 0. headroom: total tokens, as a
-    multiple of the most that can be had without repeating any domain; above 1 even the scarcest domain is kept whole.
+    """targets: share of the tokens by domain, nonnegative, of which domains without one have 0. headroom: tokens of the anchor, as
+    a multiple of what there is; from 1 on it is kept whole. The others are reduced to their shares beside it; one that is too
+    scarce for its share stays at the same multiple. Without tokens of the anchor the scarcest domain takes its place.
     """
 
     targets: tuple[tuple[str, float], ...] = (("clean", 0.95), ("low", 0.05))
+    anchor: str = "clean"
     headroom: float = 1.02
     steps: int = 30
     tolerance: float = 1e-6
@@ -65,8 +67,9 @@ def fit(scored: DataFrame, domains: list[str], mix: Mix) -> tuple[list[list[floa
     if share.sum() <= 0:
         raise ValueError("no domain has a target")
     share = share / share.sum()
-    size = mix.headroom * min(now[i] / share[i] for i in range(k) if share[i] > 0 and now[i] > 0) if (now[share > 0] > 0).any() else 0.0
-    target = size * share
+    there = {domains[i]: now[i] / share[i] for i in range(k) if share[i] > 0 and now[i] > 0}
+    size = there.get(mix.anchor, min(there.values(), default=0.0))
+    target = mix.headroom * (np.minimum(size * share, now) if mix.anchor in there else size * share)
     white = np.linalg.inv(m + mix.ridge * total * np.eye(k))
     steps: list[list[float]] = []
     for _ in range(mix.steps):

@@ -46,6 +46,22 @@ def test_unreachable_targets_stay_nonnegative(spark):
         mixing.fit(frame, ["a", "b"], mixing.Mix(targets=(("z", 1.0),)))
 
 
+@pytest.mark.parametrize("low", [0.0, 0.001, 0.02, 0.11])
+def test_clean_documents_stay_whole_however_few_are_low(spark, low):
+    rng = np.random.default_rng(4)
+    is_low = np.arange(2000) < round(2000 * low)
+    p = np.where(is_low, rng.uniform(0.9, 0.999, 2000), rng.uniform(0.0001, 0.002, 2000))
+    frame = scored(spark, np.column_stack([1 - p, p]), np.full(2000, 100))
+    steps, _ = mixing.fit(frame, ["clean", "low"], mixing.Mix())
+    rates = np.array([r["r"] for r in frame.select("posterior", mixing.rate_of(F.col("posterior"), steps).alias("r")).collect()])
+    got = np.array([((1 - p) * rates).sum(), (p * rates).sum()])
+    assert rates[~is_low].min() >= 1.0 and got[0] >= (1 - p).sum()
+    if p.sum() > 0.05 * 2000:
+        assert abs(got[1] / got.sum() - 0.05) < 1e-4
+    else:
+        assert np.allclose(rates, 1.02, atol=1e-4)
+
+
 def test_mixture_of_odd_rows(spark):
     rows = [(i, ("good words " if i % 2 else "BAD!! %%% ") * 20, "x", "y") for i in range(60)] + [(None, "a", "x", "y"), (90, None, "x", "y"), (91, "", "x", "y"), (1, "again", "x", "y"), (1, "again", "x", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rate string, posterior string")
