@@ -28,12 +28,15 @@ _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 @dataclass(frozen=True)
 class RandomTokens:
     """length: least characters of a token; ratio: least bits per character in favour of a random string; smoothing: added
-    to every count of a pair of characters; drop: a stretch ends where its bits fall so far below their highest sum."""
+    to every count of a pair of characters; drop: a stretch ends where its bits fall so far below their highest sum.
+    Without a digit, as in prose and rulers, a stretch needs ``plain`` bits and any token ``distinct`` different characters."""
 
-    length: int = 20
+    length: int = 16
     ratio: float = 1.0
     smoothing: float = 0.5
     drop: float = 15.0
+    plain: float = 26.0
+    distinct: int = 8
 
     @property
     def pattern(self) -> str:
@@ -154,10 +157,15 @@ def _stretches(token: Column, table: Column, p: RandomTokens) -> Column:
     return F.aggregate(bits, begin, step, closed)
 
 
+def _varied(token: Column, p: RandomTokens) -> Column:
+    """Whether a token has enough different characters; rulers of hyphens and the like have not."""
+    return F.size(F.array_distinct(F.split(token, ""))) >= p.distinct
+
+
 def _parts(token: Column, table: Column, p: RandomTokens) -> Column:
     """Places (start, stop) in a token of its random stretches, each up to the separators around it; those that meet are one."""
     cut = lambda s: F.substring(token, s["start"] + 1, s["stop"] - s["start"])
-    random = F.filter(_stretches(token, table, p), lambda s: cut(s).rlike("[0-9]"))
+    random = F.filter(_stretches(token, table, p), lambda s: cut(s).rlike("[0-9]") | ((s["bits"] >= p.plain) & _varied(cut(s), p)))
     before = lambda s: F.length(F.regexp_extract(F.substring(token, F.lit(1), s["start"]), "[A-Za-z0-9+]*$", 0))
     after = lambda s: F.length(F.regexp_extract(F.substring(token, s["stop"] + 1, F.length(token)), "^[A-Za-z0-9+]*", 0))
     wide = F.transform(random, lambda s: F.struct((s["start"] - before(s)).alias("start"), (s["stop"] + after(s)).alias("stop")))
@@ -182,7 +190,7 @@ def spans(text: Column, table: list[float], p: RandomTokens | None = None) -> tu
     token = lambda s: F.substring(text, s["start"] + 1, s["stop"] - s["start"])
     span = lambda at, s: F.struct((at + s["start"]).alias("start"), F.lit(3).alias("kind"), (at + s["stop"]).alias("stop"))
     parts = lambda s: F.transform(_parts(token(s), ratios, p), lambda x: span(s["start"], x))
-    random = lambda s: token(s).rlike("[0-9]") & (_ratio(token(s), ratios) >= p.ratio)
+    random = lambda s: (token(s).rlike("[0-9]") | _varied(token(s), p)) & (_ratio(token(s), ratios) >= p.ratio)
     return base, F.transform(_spans(text, p.pattern, 3), lambda s: F.struct(s.alias("span"), random(s).alias("whole"), parts(s).alias("parts")))
 
 
@@ -221,7 +229,8 @@ def report(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col
     return rows.select(id_col, *map(count, range(4)), F.sha2(rendered(F.col("base")), 256).alias("base_sha256"), rendered(F.col("all")).alias("spans"))
 
 
-_P = RandomTokens()
+#: What the SQL judges: whole runs with a digit, of 20 characters or more.
+_P = RandomTokens(length=20)
 
 
 def _quote(text: str) -> str:

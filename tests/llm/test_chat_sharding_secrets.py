@@ -175,6 +175,17 @@ def test_random_parts_of_a_run(spark):
     assert {r["text"]: r["spans"] for r in secrets.report(df, table).join(df, "doc_id").select("text", "spans").collect()} == dict(known)
 
 
+def test_random_tokens_without_digits_or_of_16_characters(spark):
+    table = secrets.train(secrets.default_samples(spark))
+    rng = random.Random(5)
+    drawn = lambda n, k: "".join(rng.choice(secrets.ALPHABET[:k]) for _ in range(n))
+    texts = [drawn(16, 62) for _ in range(100)] + [drawn(24, 52) for _ in range(100)] + ["-" * 40, "_" * 40, "/" * 40, "=" * 40, "a" * 40, "internationalization", "getUserAccountName"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"] for r in secrets.report(df, table).collect() if r["n_random"]}
+    assert sum(i in found for i in range(100)) >= 90 and sum(i in found for i in range(100, 200)) >= 90
+    assert not [texts[i] for i in found if i >= 200]
+
+
 def test_redaction(spark):
     from pyspark.sql import functions as F
 
