@@ -1,9 +1,13 @@
 """Near-duplicate classes: DartMinHash signatures, banded joining, exact verification, distributed components.
 
 DartMinHash throws darts at the region above every weighted element: the number of darts in a cell of rank and weight is
-a Poisson draw hashed from element and cell, so equal elements of different documents receive equal darts. Every dart has
-a rank and one of ``k`` coordinates; each coordinate keeps its earliest dart. Cells are opened in order of rank only until
-all coordinates are filled, which makes the cost of a document proportional to its elements plus ``k log k``.
+a Poisson draw hashed from element and cell, so equal elements of different documents receive equal darts. A dart counts for
+a document where its height lies below the element's weight. Every dart has a rank and one of ``k`` coordinates; each
+coordinate keeps its earliest dart. Cells are opened in order of rank only until all coordinates are filled, which makes the
+cost of a document proportional to its elements plus ``k log k``.
+
+Weights are sums of layers, and a layer of an element is a 64-bit number whose lowest byte is the layer's weight in UNITS of
+a whole one. So weighted Jaccard similarity is exact arithmetic on sets of such numbers.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,16 +39,15 @@ class NearDuplicates:
     similarity: float = 0.8
     bands: int = 20
     rows: int = 4
-    #: "set": every distinct shingle weighs 1, so darts estimate the Jaccard similarity that is verified.
-    #: "count": a shingle weighs as often as it occurs, which is weighted Jaccard similarity.
-    weights: str = "set"
+    #: Weight of a shingle that occurs c times: "log": 1 + ln c, rounded to 1 / UNITS; "count": c; "set": 1.
+    weights: str = "log"
     #: Buckets of up to so many members are compared pair by pair; a shingle in up to so many texts is rare.
     small: int = 8
     rare: int = 8
 
     def __post_init__(self) -> None:
-        if self.weights not in ("set", "count"):
-            raise ValueError(f"weights: {self.weights!r} is neither 'set' nor 'count'")
+        if self.weights not in ("log", "count", "set"):
+            raise ValueError(f"weights: {self.weights!r} is none of 'log', 'count', 'set'")
 
 
 def _poisson_cdf(mean: float) -> np.ndarray:
@@ -56,23 +59,49 @@ def _poisson_cdf(mean: float) -> np.ndarray:
     return np.array(out)
 
 
-def occurrence(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For every element, how often it occurred before in its document: the layer of its weight."""
+#: Parts of a whole weight. A layer weighs from 1 to UNITS of them.
+UNITS = 16
+_LAYER = U64(0xD1342543DE82EF95)
+
+
+def layers(most: int, weights: str) -> tuple[np.ndarray, np.ndarray]:
+    """For counts up to ``most``: the counts at which a weight grows, from 1, and by how many units."""
+    if weights == "set":
+        return np.ones(1, dtype=np.int64), np.full(1, UNITS)
+    if weights == "count":
+        return np.arange(1, most + 1), np.full(most, UNITS)
+    top = math.floor(UNITS * (1 + math.log(max(1, most)))) + 1
+    grows = np.ceil(np.exp((np.arange(UNITS, top + 1) - 0.5) / UNITS - 1)).astype(np.int64)
+    grows = np.unique(np.clip(grows, 1, None))
+    grows = grows[grows <= max(1, most)]
+    return grows, np.diff(np.rint(UNITS * (1 + np.log(grows))).astype(np.int64), prepend=0)
+
+
+def weighted(elements: np.ndarray, counts: np.ndarray, weights: str = "log") -> tuple[np.ndarray, np.ndarray]:
+    """Layers of the different elements of every document, each a number with its weight in units as lowest byte, and how many
+    a document has. ``elements``: hashes in order of documents, as often as they occur."""
     doc = np.repeat(np.arange(len(counts)), counts)
     order = np.lexsort((elements, doc))
     e, d = elements[order], doc[order]
     new = np.ones(len(e), dtype=bool)
     new[1:] = (e[1:] != e[:-1]) | (d[1:] != d[:-1])
-    at = np.arange(len(e))
-    out = np.empty(len(e), dtype=np.int64)
-    out[order] = at - np.maximum.accumulate(np.where(new, at, 0))
-    return out
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(e)))
+    grows, units = layers(int(times.max(initial=1)), weights)
+    many = np.searchsorted(grows, times, side="right")
+    first = np.repeat(at, many)
+    nth = np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
+    out = e[first]
+    more = nth > 0
+    out[more] = tb.mix(out[more] + grows[nth[more]].astype(np.uint64) * _LAYER)
+    return (out & ~U64(255)) | units[nth].astype(np.uint64), np.bincount(d[first], minlength=len(counts))
 
 
 def dart_signatures(elements: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
     """(documents, k) identities of the earliest dart of each coordinate; a document without elements has EMPTY ones.
 
-    ``elements``: hashes of (element, weight layer); a repeated hash adds nothing.
+    ``elements``: layers as of :func:`weighted`; a repeated one adds nothing. A dart of a layer has a height, and is thrown
+    away above the layer's weight.
     """
     docs = len(counts)
     sig = np.full(docs * k, EMPTY)
@@ -89,6 +118,8 @@ def dart_signatures(elements: np.ndarray, counts: np.ndarray, k: int) -> np.ndar
             place = np.repeat(hit, n)
             nth = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
             dart = tb.mix(elements[place] ^ tb.mix(np.repeat(seed, n) + (nth.astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15)))
+            below = (tb.mix(dart ^ _LAYER) >> U64(60)) < (elements[place] & U64(255))  # UNITS heights
+            dart, place = dart[below], place[below]
             at = doc[place] * k + (dart % U64(k)).astype(np.int64)
             free = sig[at] == EMPTY
             np.minimum.at(sig, at[free], tb.mix(dart[free] + U64(cell)))  # a bijection of the dart: its rank in the cell and its identity
@@ -115,10 +146,7 @@ def _list_column(values: np.ndarray, lengths: np.ndarray, mask: np.ndarray | Non
 
 def _elements(data: np.ndarray, offs: np.ndarray, p: NearDuplicates) -> tuple[np.ndarray, np.ndarray]:
     words, n = tb.word_hashes(data, offs)
-    e, counts = tb.shingles(words, n, p.words)
-    if p.weights == "count" and len(e):
-        e = tb.mix(e + occurrence(e, counts).astype(np.uint64) * U64(0xD1342543DE82EF95))
-    return e, counts
+    return weighted(*tb.shingles(words, n, p.words), p.weights)
 
 
 def _signing(p: NearDuplicates):
@@ -140,21 +168,23 @@ def _shingling(p: NearDuplicates):
             data, offs = tb.buffers(batch.column(1))
             for lo, hi in tb.spans(offs):
                 e, counts = _elements(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], p)
-                doc = np.repeat(np.arange(hi - lo), counts)
-                order = np.lexsort((e, doc))
-                e, doc = e[order], doc[order]
-                new = np.ones(len(e), dtype=bool)
-                new[1:] = (e[1:] != e[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _list_column(e[new], np.bincount(doc[new], minlength=hi - lo))], names=["key", "set"])
+                ends = np.concatenate([[0], np.cumsum((e & U64(255)).astype(np.int64))])[np.concatenate([[0], np.cumsum(counts)])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), _list_column(e, counts), pa.array(np.diff(ends))], names=["key", "set", "weight"])
 
     return shingle
 
 
+def _meet(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """A join by sorting both sides, which holds at any size and which Spark splits where a key is hot and both are stored."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``(node, root)`` of every node of the edges ``(a, b)``, the root being the smallest node that is reachable.
 
     Alternates large-star and small-star steps, each one aggregation and one join, and writes every round to the shared
-    folder; nothing but a count and a checksum of the edges comes to the driver.
+    folder; nothing but a count and a checksum of the edges comes to the driver. Its result are edges too, so later ones can
+    be added to it without starting anew.
     """
     spark = edges.sparkSession
     path = write_shared(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
@@ -163,9 +193,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         e = spark.read.parquet(path)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _meet(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        small = _meet(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = write_shared(small, name)
         drop_shared(spark, path)
         path = new
@@ -177,13 +207,23 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
+def _stars(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``(node, root)`` of the links and, if given, of the classes so far."""
+    edges = links.select("a", "b")
+    return materialize(components(edges if before is None else edges.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b")))), "stars")
+
+
+def _units(layers_: Column) -> Column:
+    return F.aggregate(layers_, F.lit(0).cast("long"), lambda acc, x: acc + x.bitwiseAND(F.lit(255)))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """``(a, b, sim)`` of pairs of keys: Jaccard similarity of the full shingle sets, written to the shared folder."""
-    left = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
-    whole = F.size("set_a") + F.size("set_b") - F.col("both")
-    return sets.sparkSession.read.parquet(write_shared(both.select("a", "b", (F.col("both") / F.greatest(whole, F.lit(1))).alias("sim")), name))
+    """``(a, b, sim)`` of pairs of keys: weighted Jaccard similarity of all shingles, written to the shared folder."""
+    left = sets.select(F.col("key").alias("a"), F.col("set").alias("set_a"), F.col("weight").alias("weight_a"))
+    right = sets.select(F.col("key").alias("b"), F.col("set").alias("set_b"), F.col("weight").alias("weight_b"))
+    both = _meet(_meet(pairs, left, "a"), right, "b").withColumn("both", _units(F.array_intersect("set_a", "set_b")))
+    whole = F.col("weight_a") + F.col("weight_b") - F.col("both")
+    return materialize(both.select("a", "b", (F.col("both") / F.greatest(whole, F.lit(1))).alias("sim")), name)
 
 
 def _near(tested: DataFrame, p: NearDuplicates) -> DataFrame:
@@ -194,149 +234,159 @@ def _pair(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _open_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``members(h, key, m)`` of the buckets with more than one class, with the class (root) of each and the largest one (top)."""
-    labelled = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("h", "key", "m", F.coalesce("root", "key").alias("root"))
-    sizes = labelled.groupBy("h", "root").agg(F.count("*").alias("c"))
-    tops = sizes.groupBy("h").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    return materialize(labelled.join(tops.select("h", F.col("top.root").alias("top")), "h"), "open")
+def _open_buckets(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """``members(h, key, m)`` of the buckets with more than one class, with the class (root) of each, and that of the bucket's
+    smallest key (top), with which the others were compared first."""
+    roots = stars.select(F.col("node").alias("key"), "root")
+    labelled = materialize(_meet(members, roots, "key", "left").select("h", "key", "m", F.coalesce("root", "key").alias("root")), "labelled")
+    tops = labelled.groupBy("h").agg(F.min(F.struct("key", "root")).alias("first"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return materialize(_meet(labelled, materialize(tops.select("h", F.col("first.root").alias("top")), "tops"), "h"), "open")
 
 
 def _small_candidates(small: DataFrame) -> DataFrame:
     """Pairs of different classes in buckets of few members: each is compared with all others."""
     outside = small.where("root <> top").select("h", F.col("key").alias("x"), F.col("root").alias("root_x"))
-    return _pair(outside.join(small, "h").where("root_x <> root"), "x", "key")
+    return _pair(_meet(outside, small, "h").where("root_x <> root"), "x", "key")
 
 
-def _counts(large: DataFrame, sets: DataFrame, p: NearDuplicates) -> tuple[DataFrame, DataFrame]:
-    """For the texts of large buckets, ``(key, size, token, n)`` of the shingles that n of them have, n > 1, and by text
-    ``(key, size, common, shared)``: how many shingles it has, how many of them are common (in more than ``p.rare`` texts) and
-    how many are in any other text. A text that shares no shingle is left out, as nothing is similar to it.
+def _tokens(large: DataFrame, sets: DataFrame, p: NearDuplicates) -> tuple[DataFrame, DataFrame]:
+    """For the texts of large buckets, ``(key, weight, token, n)`` of the layers that n of them have, n > 1, and by text
+    ``(key, weight, common, shared)``: the units of all its layers, of the common ones (in more than ``p.rare`` texts) and of
+    those in any other text. A text that shares nothing is left out, as nothing is similar to it.
     """
-    tokens = sets.join(large.select("key").distinct(), "key", "left_semi").select("key", F.size("set").alias("size"), F.explode("set").alias("token"))
-    spread = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    tokens = materialize(tokens.join(spread, "token"), "tokens")
-    return tokens, materialize(tokens.groupBy("key", "size").agg(F.count_if(F.col("n") > p.rare).alias("common"), F.count("*").alias("shared")), "counts")
+    each = _meet(sets, large.select("key").distinct(), "key", "left_semi").select("key", "weight", F.explode("set").alias("token"))
+    spread = each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    tokens = materialize(_meet(each, materialize(spread, "spread"), "token"), "tokens")
+    units = F.col("token").bitwiseAND(F.lit(255))
+    common = F.sum(F.when(F.col("n") > p.rare, units).otherwise(0))
+    return tokens, materialize(tokens.groupBy("key", "weight").agg(common.alias("common"), F.sum(units).alias("shared")), "counts")
 
 
 def _consensus_candidates(large: DataFrame, counts: DataFrame) -> DataFrame:
     """Members of large buckets with the one that has most of what is common there and least else."""
-    known = large.join(counts, "key")
-    best = known.groupBy("h").agg(F.max(F.struct(2 * F.col("common") - F.col("size"), "key", "root")).alias("best")).select("h", F.col("best.key").alias("center"), F.col("best.root").alias("center_root"))
-    return _pair(known.join(best, "h").where("root <> center_root"), "key", "center")
+    known = materialize(_meet(large, counts, "key").select("h", "key", "root", (2 * F.col("common") - F.col("weight")).alias("score")), "known")
+    best = materialize(known.groupBy("h").agg(F.max(F.struct("score", "key", "root")).alias("best")).select("h", F.col("best.key").alias("center"), F.col("best.root").alias("center_root")), "best")
+    return _pair(_meet(known, best, "h").where("root <> center_root"), "key", "center")
 
 
-def _large_candidates(large: DataFrame, tokens: DataFrame, counts: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Pairs of different classes in large buckets that can be similar; for all others their counts prove that they aren't.
+def _prefix_candidates(large: DataFrame, tokens: DataFrame, counts: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Pairs of different classes in large buckets that can be similar; for all others their prefixes prove that they aren't.
 
-    Two texts share as many common shingles as the poorer of them has at most, so that similar texts share rare ones, which
-    the inverted lists of rare shingles find, or have common ones enough. Texts whose shared shingles are too few for any
-    partner are left out first. Only texts outside the largest class of a bucket ask, as every pair of different classes has
-    one.
+    All layers have one order, those that fewest texts have first. A similar pair has ``similarity`` of the heavier text in
+    common, so without a layer in common among the first of both, up to where less than that share of a text is left, it can't
+    be similar. Nor can a pair whose common part there and the rest of the one that ends first together are too little. Layers that a
+    single class has in its prefixes make no pairs, and only texts outside the first class of a bucket ask, as every pair of
+    different classes has one.
     """
-    need = lambda a, b: F.lit(p.similarity / (1 + p.similarity)) * (F.col(a) + F.col(b)) - 1e-6
-    known = large.join(counts, "key")
-    sizes = known.groupBy("h").agg(F.array_sort(F.collect_set("size")).alias("sizes"))  # at most as many as texts have lengths
-    known = materialize(known.join(sizes, "h"), "known")
-    alive = known.groupBy("key", "size", "common", "shared", "root").agg(F.min(F.array_min("sizes")).alias("least"), F.max(F.col("root") != F.col("top")).alias("asks"))
-    alive = alive.where(F.col("shared") >= F.lit(p.similarity / (1 + p.similarity)) * (F.col("size") + F.greatest("least", F.col("size") * p.similarity)) - 1e-6)
-
-    rare = tokens.where(F.col("n") <= p.rare).select("key", "token").join(alive, "key")
-    asking = rare.where("asks").select("token", *(F.col(c).alias(f"{c}_x") for c in ("key", "size", "common", "root")))
-    met = asking.join(rare, "token").where("root_x <> root").groupBy("key_x", "key", "size_x", "size", "common_x", "common").agg(F.count("*").alias("met"))
-    by_rare = met.where(F.least("common_x", "common") + F.col("met") >= need("size_x", "size"))
-
-    limit = F.col("common") * ((1 + p.similarity) / p.similarity) - F.col("size") + 1e-6
-    fit = F.filter("sizes", lambda n: (n <= limit) & (n >= F.col("size") * p.similarity - 1e-6) & (n <= F.col("size") / p.similarity + 1e-6))
-    outside = known.where("root <> top").select("h", F.explode(fit).alias("size"), *(F.col(c).alias(f"{c}_x") for c in ("key", "size", "common", "root")))
-    by_common = outside.join(known.select("h", "key", "size", "common", "root"), ["h", "size"]).where((F.col("root_x") != F.col("root")) & (F.least("common_x", "common") >= need("size_x", "size")))
-    return _pair(by_rare, "key_x", "key").unionByName(_pair(by_common, "key_x", "key")).distinct()
-
-
-def links(unique: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Verified links ``(a, b)`` between different texts, enough to join all texts that any chain of links joins.
+    who = large.groupBy("key").agg(F.min("root").alias("root"), F.max((F.col("root") != F.col("top")).cast("int")).alias("asks"))
+    room = F.col("weight") * (1 - p.similarity) + 1e-6
+    alive = _meet(who, counts, "key").where(F.col("weight") - F.col("shared") <= room)
+    units = F.col("token").bitwiseAND(F.lit(255))
+    ahead = F.sum(units).over(Window.partitionBy("key").orderBy("n", "token")) - units + F.col("weight") - F.col("shared")
+    each = _meet(tokens.select("key", "token", "n"), alive, "key").withColumn("ahead", ahead).where(F.col("ahead") <= room)
+    end = F.max(F.struct("n", "token", (F.col("weight") - F.col("ahead") - units).alias("rest"))).over(Window.partitionBy("key"))
+    each = materialize(each.withColumn("end", end).select("token", "key", "root", "asks", "weight", "end"), "prefixes")
+    mixed = each.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("asks").alias("asked")).where("lo <> hi and asked = 1")
+    each = materialize(_meet(each, materialize(mixed.select("token"), "mixed"), "token"), "mixed_prefixes")
+    asking = each.where("asks = 1").select("token", *(F.col(c).alias(f"{c}_x") for c in ("key", "root", "weight", "end")))
+    fit = (F.col("weight") >= F.col("weight_x") * p.similarity - 1e-6) & (F.col("weight_x") >= F.col("weight") * p.similarity - 1e-6)
+    met = _meet(asking, each, "token").where((F.col("root_x") != F.col("root")) & fit).groupBy("key_x", "key", "weight_x", "weight", "end_x", "end").agg(F.sum(units).alias("met"))
+    need = F.lit(p.similarity / (1 + p.similarity)) * (F.col("weight_x") + F.col("weight")) - 1e-6
+    return _pair(met.where(F.col("met") + F.least("end_x", "end")["rest"] >= need), "key_x", "key")
+
+
+def text_classes(unique: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
+    """``(node, root)`` of the keys of all texts that a chain of links joins to another text, root being the least key.
 
     ``unique(key, id, bands)``: one row per text; ``texts(key, id, text)``: a row of that key and id at least. First the
-    members of a bucket are compared with its center, the one that shares most buckets with others, which joins most groups
-    with one pair for each member. Two texts may be alike and yet unlike the center, so buckets that still hold more than one
-    class are gone through: those of up to ``p.small`` members pair by pair; larger ones by a second center, the text nearest
-    to what the bucket has in common, and then by :func:`_large_candidates`. No bucket has a cap: every pair of a bucket is in
-    one class, is compared, or can't be similar.
+    members of a bucket are compared with its least key, which joins most groups with one pair for each member. Two texts may
+    be alike and yet unlike that one, so buckets that still hold more than one class are gone through: those of up to
+    ``p.small`` members pair by pair; larger ones by a second center, the text nearest to what the bucket has in common, and
+    then by :func:`_prefix_candidates`. No bucket has a cap: every pair of a bucket is in one class, is compared, or can't be
+    similar. Where no bucket is open any more, the later steps have nothing to do and are left out.
     """
-    spark = unique.sparkSession
     entry = unique.select("key", F.explode("bands").alias("h"))
-    bucket = entry.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    members = materialize(entry.join(bucket, "h"), "members")
-    popular = members.groupBy("key").agg(F.sum("m").alias("weight"))
-    centers = members.join(popular, "key").groupBy("h").agg(F.max(F.struct("weight", "key")).alias("best")).select("h", F.col("best.key").alias("center"))
-    pairs = materialize(_pair(members.join(centers, "h").where("key <> center"), "key", "center"), "pairs")
-    wanted = members.select("key").distinct().join(unique.select("key", F.col("id").alias("first_id")), "key")
-    # one row of every text, so that copies don't travel; merged at any size, as the number of texts has no bound
-    needed = texts.join(wanted.withColumnRenamed("key", "first_key").hint("merge"), (F.col("key") == F.col("first_key")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = needed.select("key", "text").mapInArrow(_shingling(p), "key binary, set array<bigint>")
-    sets = materialize(sets.groupBy("key").agg(F.first("set").alias("set")), "sets")
+    buckets = materialize(entry.groupBy("h").agg(F.min("key").alias("center"), F.count("*").alias("m")).where("m > 1"), "buckets")
+    members = materialize(_meet(entry, buckets, "h"), "members")
+    pairs = members.where("key <> center").select(F.col("center").alias("a"), F.col("key").alias("b")).distinct()
+    wanted = _meet(members.select("key").distinct(), unique.select("key", F.col("id").alias("first_id")), "key").withColumnRenamed("key", "first_key")
+    # one row of every text, so that copies don't travel
+    needed = _meet(texts, wanted, (F.col("key") == F.col("first_key")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+    sets = needed.select("key", "text").mapInArrow(_shingling(p), "key binary, set array<bigint>, weight bigint")
+    sets = materialize(sets.groupBy("key").agg(F.first("set").alias("set"), F.first("weight").alias("weight")), "sets")
     tested = _verified(pairs, sets, "tested")
 
     def test(candidates: DataFrame) -> DataFrame:
-        return tested.unionByName(_verified(candidates.join(tested, ["a", "b"], "left_anti"), sets, "tested"))
+        return _verified(_meet(candidates, tested.select("a", "b"), ["a", "b"], "left_anti"), sets, "tested")
 
-    open_ = _open_buckets(members, components(_near(tested, p)))
+    stars = _stars(_near(tested, p))
+    open_ = _open_buckets(members.select("h", "key", "m"), stars)
+    if open_.isEmpty():
+        return stars
     large = open_.where(F.col("m") > p.small)
-    tokens, counts = _counts(large, sets, p)
-    tested = test(_small_candidates(open_.where(F.col("m") <= p.small)).unionByName(_consensus_candidates(large, counts)).distinct())
-    tested = test(_large_candidates(_open_buckets(large.select("h", "key", "m"), components(_near(tested, p))), tokens, counts, p))
-    return _near(tested, p)
+    candidates, some = _small_candidates(open_.where(F.col("m") <= p.small)), not large.isEmpty()
+    if some:
+        tokens, counts = _tokens(large, sets, p)
+        candidates = candidates.unionByName(_consensus_candidates(large, counts)).distinct()
+    again = test(candidates)
+    stars = _stars(_near(again, p), stars)
+    if some:
+        tested = tested.unionByName(again)
+        large = _open_buckets(large.select("h", "key", "m"), stars)
+        if not large.isEmpty():
+            stars = _stars(_near(test(_prefix_candidates(large, tokens, counts, p)), p), stars)
+    return stars
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str, p: NearDuplicates) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows(key, id, bands)`` of every row (key null for a null text), ``unique(key, none, id, n, bands)`` of every text with
+    its least id, nulls last, and how many rows have it, and ``(node, root)`` of :func:`text_classes`."""
+    ship(docs.sparkSession)
+    base = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).withColumn("key", text_key(F.col("text")))
+    texts = base.select("key", "id", "text")
+    schema = type(texts.schema)([f for f in texts.schema if f.name != "text"]).add("bands", T.ArrayType(T.LongType()))
+    rows = materialize(texts.mapInArrow(_signing(p), schema), "signed")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")
+    unique = rows.where("key is not null").groupBy("key").agg(first, F.count("*").alias("n"), F.first("bands").alias("bands"))
+    unique = materialize(unique.select("key", "first.none", "first.id", "n", "bands"), "unique")
+    return rows, unique, text_classes(unique, texts.where("key is not null"), p)
+
+
+def _classes(unique: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(key, root)`` of every text, and ``(root, first, class_size)`` of every class, first being its least (none, id, key)."""
+    by_text = _meet(unique.select("key", "none", "id", "n"), stars, F.col("key") == F.col("node"), "left")
+    by_text = materialize(by_text.select("key", "none", "id", "n", F.coalesce("root", "key").alias("root")), "texts")
+    return by_text, by_text.groupBy("root").agg(F.min(F.struct("none", "id", "key")).alias("first"), F.sum("n").alias("class_size"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearDuplicates | None = None) -> DataFrame:
-    """One row per input row: ``(id, text_key, class_id, class_size, links, keep)``.
+    """One row per input row: ``(id, text_key, class_id, class_size, keep)``.
 
     class_id: the smallest id of the class; a class holds equal texts and texts that a chain of links joins.
-    links: how many verified links the row's text has to different texts (of the pairs compared).
     keep: true for rows with the smallest (id, text) of their class; repeated rows that agree in both keep together.
     A null text is in a class of its own row's id with size 1, text_key null and keep true. Equal texts without words are
-    one class and have no links. Ids may be null or repeated: a null id is never chosen while another is there.
+    one class. Ids may be null or repeated: a null id is never chosen while another is there.
     """
-    p = params or NearDuplicates()
-    spark = docs.sparkSession
-    ship(spark)
-    base = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).withColumn("key", text_key(F.col("text")))
-    texts = base.where("text is not null").select("key", "id", "text")
-    schema = type(texts.schema)([f for f in texts.schema if f.name != "text"]).add("bands", T.ArrayType(T.LongType()))
-    signed = texts.mapInArrow(_signing(p), schema).groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    signed = spark.read.parquet(write_shared(signed, "signed"))
-    found = spark.read.parquet(write_shared(links(signed, texts, p), "links"))
-    comp = components(found)
-    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    node = degree.join(comp, "node", "left").select(F.col("node").alias("key"), F.coalesce("root", "node").alias("root"), "links")
-    # by row, by text, by class: each is stored, so that joins back are between two plain shuffles, of which Spark splits a hot key
-    light = materialize(base.groupBy("id", "key").agg(F.count("*").alias("n")), "light")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
-    by_text = light.where("key is not null").groupBy("key").agg(first.alias("first"), F.sum("n").alias("n")).join(node, "key", "left")
-    by_text = materialize(by_text.select("key", "first", "n", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "texts")
-    classes = materialize(by_text.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("class_size")), "classes")
-    by_text = materialize(by_text.select("key", "root", "links").join(classes, "root").drop("root"), "classed")
-    known = light.where("key is not null").join(by_text, "key")
+    rows, unique, stars = _signed(docs, id_col, text_col, params or NearDuplicates())
+    by_text, classes = _classes(unique, stars)
+    # by text, by class: each is stored, so that joins back are between two plain shuffles, of which Spark splits a hot key
+    classed = materialize(_meet(by_text.select("key", "root"), materialize(classes, "classes"), "root").drop("root"), "classed")
+    known = _meet(rows.where("key is not null").select("id", "key"), classed, "key")
     keep = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))
-    known = known.select("id", "key", F.col("first.id").alias("class_id"), "class_size", "links", keep.alias("keep"), "n")
-    none = light.where("key is null").select("id", "key", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("keep"), "n")
-    rows = known.unionByName(none).withColumn("_", F.explode(F.expr("array_repeat(0, cast(n as int))"))).drop("_", "n")
-    return rows.select(F.col("id").alias(id_col), F.col("key").alias("text_key"), "class_id", "class_size", "links", "keep")
+    known = known.select("id", "key", F.col("first.id").alias("class_id"), "class_size", keep.alias("keep"))
+    none = rows.where("key is null").select("id", "key", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("keep"))
+    return known.unionByName(none).select(F.col("id").alias(id_col), F.col("key").alias("text_key"), "class_id", "class_size", "keep")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: NearDuplicates | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of every class; rows with a null text stay."""
-    spark = docs.sparkSession
-    chosen = near_duplicates(docs, id_col, text_col, params).where("keep and text_key is not null")
-    chosen = spark.read.parquet(write_shared(chosen.groupBy(id_col, "text_key").agg(F.count("*").alias("n")), "chosen"))
-    key, cid, n = fresh(docs, "near_key"), fresh(docs, "near_id"), fresh(docs, "near_n")
-    chosen = chosen.select(F.col(id_col).alias(cid), F.col("text_key").alias(key), F.col("n").alias(n))
-    keyed = docs.withColumn(key, text_key(quoted(text_col).cast("string")))
-    once = chosen.where(F.col(n) == 1)
-    kept = keyed.join(once.withColumnRenamed(key, f"{key}2"), (quoted(key) == F.col(f"{key}2")) & quoted(id_col).eqNullSafe(F.col(cid)), "left_semi").select(*map(quoted, docs.columns))
-    out = kept.unionByName(docs.where(quoted(text_col).isNull()))
-    if chosen.where(F.col(n) > 1).limit(1).count():  # the same id and text more than once: one of those rows
-        again = chosen.where(F.col(n) > 1).withColumnRenamed(key, f"{key}2")
-        repeated = keyed.join(again, (quoted(key) == F.col(f"{key}2")) & quoted(id_col).eqNullSafe(F.col(cid)), "left_semi").dropDuplicates([id_col, key])
-        out = out.unionByName(repeated.select(*map(quoted, docs.columns)))
-    return out
+    rows, unique, stars = _signed(docs, id_col, text_col, params or NearDuplicates())
+    _, classes = _classes(unique, stars)
+    key, own, cid = fresh(docs, "near_key"), fresh(docs, "near_own"), fresh(docs, "near_id")
+    chosen = materialize(classes.select(F.col("first.id").alias(cid), F.col("first.key").alias(key)), "chosen")
+    keyed = docs.withColumn(own, text_key(quoted(text_col).cast("string")))
+    kept = _meet(keyed, chosen, (quoted(own) == F.col(key)) & quoted(id_col).eqNullSafe(F.col(cid)), "left_semi")
+    same = rows.where("key is not null").groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1")
+    if not _meet(same, chosen, (F.col("key") == F.col(key)) & F.col("id").eqNullSafe(F.col(cid)), "left_semi").isEmpty():
+        kept = kept.dropDuplicates([id_col, own])  # the same id and text more than once: one of those rows
+    return kept.select(*map(quoted, docs.columns)).unionByName(docs.where(quoted(text_col).isNull()))

@@ -76,8 +76,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class id and size, number of links and the keep decision of every document."""
-    return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "links", "keep", F.lower(F.hex("text_key")).alias("text_key"))
+    """Class id and size and the keep decision of every document."""
+    return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "keep", F.lower(F.hex("text_key")).alias("text_key"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,7 +1,9 @@
 """Near-duplicate classes against brute force, and the defined results for odd inputs."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -15,10 +17,20 @@ SCHEMA = "doc_id long, text string, key string, id string"
 
 def shingles(text):
     words = WORD.findall(text.encode().lower())
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
 
 
-def brute(rows):
+WEIGHTS = {"log": lambda c: round(16 * (1 + math.log(c))), "count": lambda c: c, "set": lambda c: 1}
+
+
+def similarity(a, b, weights="log"):
+    """Weighted Jaccard similarity of two bags of shingles."""
+    w = lambda c: WEIGHTS[weights](c) if c else 0
+    both = sum(min(w(a[k]), w(b[k])) for k in a.keys() & b.keys())
+    return both / max(1, sum(map(w, a.values())) + sum(map(w, b.values())) - both)
+
+
+def brute(rows, weights="log"):
     texts = sorted({t for _, t in rows if t is not None})
     sets = [shingles(t) for t in texts]
     root = list(range(len(texts)))
@@ -30,7 +42,7 @@ def brute(rows):
 
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if sets[i] and similarity(sets[i], sets[j], weights) >= 0.8:
                 root[find(i)] = find(j)
     of = {t: find(i) for i, t in enumerate(texts)}
     ids = {}
@@ -99,15 +111,33 @@ def test_large_group_of_near_copies(spark):
     assert sum(r["keep"] for r in got) == 1
 
 
-def test_signatures_estimate_weighted_similarity():
-    a = np.repeat(np.arange(300, dtype=np.uint64), 1 + np.arange(300) % 3)
-    b = np.repeat(np.arange(60, 360, dtype=np.uint64), 1 + np.arange(300) % 2)
-    counts = np.array([len(a), len(b)])
-    e = tb.mix(np.concatenate([a, b]))
-    e = tb.mix(e + m.occurrence(e, counts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+@pytest.mark.parametrize("weights", ["log", "count", "set"])
+def test_signatures_estimate_weighted_similarity(weights):
+    a = np.repeat(np.arange(300, dtype=np.uint64), 1 + np.arange(300) % 9)
+    b = np.repeat(np.arange(60, 360, dtype=np.uint64), 1 + np.arange(300) % 4)
+    e, counts = m.weighted(tb.mix(np.concatenate([a, b])), np.array([len(a), len(b)]), weights)
     s = m.dart_signatures(e, counts, 6000)
-    wa, wb = np.bincount(a.astype(int), minlength=360), np.bincount(b.astype(int), minlength=360)
-    assert abs((s[0] == s[1]).mean() - np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()) < 0.03
+    assert abs((s[0] == s[1]).mean() - similarity(Counter(a.tolist()), Counter(b.tolist()), weights)) < 0.03
+
+
+def test_layers_add_up_to_weights():
+    for c in (1, 2, 3, 10, 999, 10**6):
+        grows, units = m.layers(c, "log")
+        assert units.sum() == WEIGHTS["log"](c) and 1 <= units.min() and units.max() <= m.UNITS and grows.max() <= c
+
+
+def test_texts_that_repeat_their_lines(spark):
+    """Weights of 1 + ln(count): a line is heavier where it is repeated, but not by as much as it is repeated."""
+    rng = random.Random(2)
+    line = lambda: " ".join(f"r{rng.randrange(300)}" for _ in range(12)) + " "
+    rows = []
+    for _ in range(12):
+        lines = [line() for _ in range(rng.choice([2, 5, 9]))]
+        for _ in range(4):
+            rows.append((len(rows), "".join(x * rng.choice([1, 1, 2, 3, 9, 40]) for x in lines)))
+    for weights in ("log", "count", "set"):
+        got = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), params=m.NearDuplicates(weights=weights)).collect()
+        assert {r["doc_id"]: r["class_id"] for r in got} == {i: c for (i, _), c in brute(rows, weights).items()}, weights
 
 
 def test_word_hashes_across_blocks(monkeypatch):
