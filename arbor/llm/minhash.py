@@ -179,17 +179,24 @@ def _meet(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how:
     return left.join(right.hint("merge"), on, how)
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """``(node, root)`` of every node of the edges ``(a, b)``, the root being the smallest node that is reachable.
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has one only, which has none itself."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
-    Alternates large-star and small-star steps, each one aggregation and one join, and writes every round to the shared
-    folder; nothing but a count and a checksum of the edges comes to the driver. Its result are edges too, so later ones can
-    be added to it without starting anew.
+
+def components(edges: DataFrame, before: DataFrame | None = None, name: str = "components") -> DataFrame:
+    """``(node, root)`` of every node of the edges ``(a, b)`` but the roots; a root is the smallest node that is reachable.
+
+    before: an earlier result, to which the edges are added. Alternates large-star and small-star steps, each one aggregation
+    and one join, until all edges are stars, and writes every round to the shared folder; no edge comes to the driver.
     """
     spark = edges.sparkSession
-    path = write_shared(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    seen = None
-    while True:
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    if before is not None:
+        edges = edges.unionByName(before.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    path = write_shared(edges.distinct(), name)
+    while not _are_stars(spark.read.parquet(path)):
         e = spark.read.parquet(path)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -199,18 +206,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         new = write_shared(small, name)
         drop_shared(spark, path)
         path = new
-        state = tuple(spark.read.parquet(path).agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
-    e = spark.read.parquet(path)
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-
-
-def _stars(links: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """``(node, root)`` of the links and, if given, of the classes so far."""
-    edges = links.select("a", "b")
-    return materialize(components(edges if before is None else edges.unionByName(before.select(F.col("node").alias("a"), F.col("root").alias("b")))), "stars")
+    return spark.read.parquet(path).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _units(layers_: Column) -> Column:
@@ -319,7 +315,7 @@ def text_classes(unique: DataFrame, texts: DataFrame, p: NearDuplicates) -> Data
     def test(candidates: DataFrame) -> DataFrame:
         return _verified(_meet(candidates, tested.select("a", "b"), ["a", "b"], "left_anti"), sets, "tested")
 
-    stars = _stars(_near(tested, p))
+    stars = components(_near(tested, p))
     open_ = _open_buckets(members.select("h", "key", "m"), stars)
     if open_.isEmpty():
         return stars
@@ -329,12 +325,12 @@ def text_classes(unique: DataFrame, texts: DataFrame, p: NearDuplicates) -> Data
         tokens, counts = _tokens(large, sets, p)
         candidates = candidates.unionByName(_consensus_candidates(large, counts)).distinct()
     again = test(candidates)
-    stars = _stars(_near(again, p), stars)
+    stars = components(_near(again, p), stars)
     if some:
         tested = tested.unionByName(again)
         large = _open_buckets(large.select("h", "key", "m"), stars)
         if not large.isEmpty():
-            stars = _stars(_near(test(_prefix_candidates(large, tokens, counts, p)), p), stars)
+            stars = components(_near(test(_prefix_candidates(large, tokens, counts, p)), p), stars)
     return stars
 
 

@@ -185,3 +185,14 @@ def test_large_buckets_lose_no_link(spark, small, rare):
     rows = drifting(small + rare)
     got = m.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), params=m.NearDuplicates(small=small, rare=rare)).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == {i: c for (i, _), c in brute(rows).items()}
+
+
+def test_components_of_chains_and_cycles(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(200 + i, 230) for i in range(30)] + [(300, 300)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = {**dict.fromkeys(range(1, 41), 0), **dict.fromkeys(range(101, 109), 100), **dict.fromkeys(range(201, 231), 200)}
+    found = m.components(frame)
+    assert {r["node"]: r["root"] for r in found.collect()} == want
+    more = m.components(spark.createDataFrame([(40, 107), (500, 499)], "a long, b long"), found)
+    assert {r["node"]: r["root"] for r in more.collect()} == {**{k: 0 if v == 100 else v for k, v in want.items()}, 100: 0, 500: 499}
+    assert m.components(frame.where("a > 900")).count() == 0
