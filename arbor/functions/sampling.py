@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _M, _A, _C = 2147483648, 1103515245, 12345
+#: The stream of draws for samples; trees draw from streams of their numbers.
+SAMPLE_STREAM = 104729
 
 
 def uniform(key: Column, seed: int, stream: Column | int = 0) -> Column:
@@ -68,11 +70,16 @@ def binning_fraction(max_bins: int, bin_samples: int, rows: int) -> float:
 
 
 def bernoulli(df: DataFrame, fraction: float, seed: int, key: Column | None = None) -> DataFrame:
-    """Rows drawn without replacement with probability ``fraction``, by a hash of ``key`` (default: of the whole row)."""
+    """Rows drawn without replacement with probability ``fraction``: each for itself, however many are equal.
+
+    By a hash of ``key``, a row id, alike in any partitioning. Without one by the engine's sample, which draws by the place of a
+    row in its partition and so alike on a retry.
+    """
     if fraction >= 1:
         return df
-    h = F.xxhash64(key if key is not None else F.to_json(F.struct("*")), F.lit(seed))
-    return df.where(F.pmod(h, F.lit(1 << 30)) < int(fraction * (1 << 30)))
+    if key is None:
+        return df.sample(False, fraction, seed)
+    return df.where(uniform(key, seed, SAMPLE_STREAM) < fraction)
 
 
 def hash_split(df: DataFrame, key: Column, weights: list[float], seed: int) -> list[DataFrame]:

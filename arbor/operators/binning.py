@@ -73,12 +73,13 @@ def split_thresholds(points: DataFrame, max_bins: int = 32, dialect: str = "dist
     return each.select("f", emit(F.col("vs"), max_bins).alias("thresholds"))
 
 
-def find_thresholds(points: DataFrame, n_features: int, max_bins: int, bin_samples: int, dialect: str, seed: int, rows: int) -> Thresholds:
-    """Thresholds by feature from a sample of about ``max(max_bins^2, bin_samples)`` rows; as many values as features and bins
-    come to the driver. NaN is refused: its order differs between binning and scoring. The local dialect refuses constants.
+def find_thresholds(points: DataFrame, n_features: int, max_bins: int, bin_samples: int, dialect: str, seed: int, rows: int, key: Column | None = None) -> Thresholds:
+    """Thresholds by feature from a sample of about ``max(max_bins^2, bin_samples)`` rows, drawn by ``key`` if there is one; as
+    many values as features and bins come to the driver. NaN is refused: its order differs between binning and scoring. The
+    local dialect refuses constants.
     """
     bins = max_bins if dialect == "distributed" else max(2, min(max_bins, rows))
-    sample = bernoulli(points.select("features"), binning_fraction(bins, bin_samples, rows), seed)
+    sample = bernoulli(points, binning_fraction(bins, bin_samples, rows), seed, key).select("features")
     found = {r["f"]: list(r["thresholds"]) for r in split_thresholds(sample, bins, dialect).collect()}
     if any(v != v for t in found.values() for v in t):
         raise ValueError("a feature holds NaN")

@@ -132,7 +132,8 @@ def prepare(points: DataFrame, p: TreeParams, with_labels: bool = False, key: Co
     """Bins of ``points(label, features array<double>)``. One pass finds size, width and, if asked for, the labels (of which
     there may be 1,000); one finds thresholds on a sample; one stores bins.
 
-    key: an integer row id for weights; by default a hash of the row, so equal rows draw equal weights.
+    key: an integer row id for samples and weights. By default a row's place in its partition, which is stored with the bins, so
+    that equal rows draw weights of their own.
     """
     sizes = points.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("features")), F.lit(0)).alias("width"), F.max(F.exists("features", lambda v: F.isnan(v))).alias("nan"))
     s = sizes.first()
@@ -145,8 +146,8 @@ def prepare(points: DataFrame, p: TreeParams, with_labels: bool = False, key: Co
         labels = tuple(sorted(r["label"] for r in points.select("label").distinct().limit(1001).collect()))
         if len(labels) > 1000:
             raise ValueError("more than 1,000 labels: this is not a classification")
-    thresholds = find_thresholds(points, s["width"], p.max_bins, p.bin_samples, p.dialect, p.seed, s["n"])
-    who = key.cast("long") if key is not None else F.pmod(F.xxhash64("label", "features"), F.lit(1 << 31))
+    thresholds = find_thresholds(points, s["width"], p.max_bins, p.bin_samples, p.dialect, p.seed, s["n"], key)
+    who = key.cast("long") if key is not None else F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 31))
     rows, path = store(points.select(who.alias("key"), F.col("label").cast("double").alias("label"), binned(F.col("features"), thresholds, p.dialect).alias("bins")), "binned")
     return Prepared(rows, path, thresholds, s["n"], labels)
 
@@ -241,10 +242,14 @@ def train_boost(points: DataFrame, watch: dict[str, DataFrame] | None = None, pa
 
 
 def train_multi_boost(points: DataFrame, params: MultiBoostParams | None = None) -> MultiBoostModel:
-    """Boosted classification of labels 0, 1, ...: in every round the trees of all classes grow in one pass."""
+    """Boosted classification of labels 0, 1, ...: in every round the trees of all classes grow in one pass. Labels that aren't
+    such numbers, or are more than 1,000, are refused."""
     p = params or MultiBoostParams()
-    data = prepare(points, p)
-    classes = int(data.rows.agg(F.max("label")).first()[0]) + 1
+    data = prepare(points, p, True)
+    if any(x < 0 or x != int(x) or x > 999 for x in data.labels):
+        discard(points.sparkSession, data.path)
+        raise ValueError("labels must be whole numbers from 0 to 999")
+    classes = int(data.labels[-1]) + 1
     scores = _Scores(data.rows.withColumn("f", F.array_repeat(F.lit(0.0), classes)), "scores")
     nodes: list[Node] = []
     for r in range(p.num_round):

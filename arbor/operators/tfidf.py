@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Characters that mean something in a pattern, as themselves.
+_ESCAPE = {c: f"\\{c}" for c in r".^$*+?()[]{}\|-/"}
+
+
 def white_space(text: Column) -> Column:
     """Lower-cased runs without white space."""
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
@@ -23,15 +27,42 @@ def char_ngrams(n: int = 2) -> Callable[[Column], Column]:
     return tokens
 
 
+def longest_matches(lexicon: Iterable[str]) -> Callable[[Column], Column]:
+    """Words of unspaced text by the caller's lexicon: at every place the longest word that fits, else a run of ASCII letters and
+    digits, else a single character; white space separates.
+
+    The lexicon becomes one pattern with a branch for each shared beginning, so that a place costs a walk down one branch and
+    the text stays in compiled functions.
+    """
+    tree: dict = {}
+    for word in lexicon:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        if word:
+            at[""] = {}
+
+    def pattern(node: dict) -> str:
+        below = "|".join(_ESCAPE.get(c, c) + pattern(n) for c, n in sorted(node.items()) if c)
+        return f"(?:{below})" + ("?" if "" in node else "") if below else ""
+
+    word = pattern(tree)
+    any_token = f"{word}|[A-Za-z0-9]+|\\S" if word else "[A-Za-z0-9]+|\\S"
+    return lambda text: F.regexp_extract_all(text, F.lit(any_token), F.lit(0))
+
+
 def terms(docs: DataFrame, tokenizer: Callable[[Column], Column] = white_space) -> DataFrame:
     """``(doc_id, pos, term)``; documents with a null text have none."""
     return docs.where("text is not null").select("doc_id", F.posexplode(tokenizer(F.col("text"))).alias("pos", "term"))
 
 
 def term_counts(docs: DataFrame, tokenizer: Callable[[Column], Column] = white_space) -> DataFrame:
-    """``(doc_id, term, count, doc_terms)``."""
-    counts = terms(docs, tokenizer).groupBy("doc_id", "term").agg(F.count("*").alias("count"))
-    return counts.withColumn("doc_terms", F.sum("count").over(Window.partitionBy("doc_id")))
+    """``(doc_id, term, count, doc_terms)`` by one shuffle: a document's terms are counted before they are dealt out. A doc_id is
+    one document's.
+    """
+    tokens = docs.where("text is not null").select("doc_id", tokenizer(F.col("text")).alias("t"))
+    each = tokens.select("doc_id", F.size("t").cast("long").alias("doc_terms"), F.explode("t").alias("term"))
+    return each.groupBy("doc_id", "term", "doc_terms").agg(F.count("*").alias("count")).select("doc_id", "term", "count", "doc_terms")
 
 
 def document_frequency(docs: DataFrame, tokenizer: Callable[[Column], Column] = white_space) -> DataFrame:
@@ -41,16 +72,18 @@ def document_frequency(docs: DataFrame, tokenizer: Callable[[Column], Column] =
 def dictionary(docs: DataFrame, tokenizer: Callable[[Column], Column] = white_space) -> DataFrame:
     """``(term, term_id)``: terms numbered from 0 in order of their first occurrence, by document id and position.
 
-    First occurrences are found by a combining aggregation. They are numbered by range: a global sort with the counts of its
-    partitions' predecessors instead of one window, so that no task holds the whole vocabulary.
+    First occurrences are found by a combining aggregation. They are numbered by range: counts of documents, of blocks of 2^16
+    ids and of blocks of 2^32 ids, with running sums inside each, so that no task holds the vocabulary or all documents.
     """
     first = terms(docs, tokenizer).groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
-    by_doc = first.groupBy("at.doc_id").agg(F.count("*").alias("n"))
-    offset = by_doc.withColumn("block", F.floor(F.col("doc_id") / 4096))
-    blocks = offset.groupBy("block").agg(F.sum("n").alias("bn"))
-    before = blocks.select("block", (F.sum("bn").over(Window.orderBy("block")) - F.col("bn")).alias("block0"))
-    inside = offset.withColumn("doc0", F.sum("n").over(Window.partitionBy("block").orderBy("doc_id")) - F.col("n")).join(before, "block")
-    start = inside.select(F.col("doc_id").alias("d"), (F.col("block0") + F.col("doc0")).alias("start"))
+    levels = [first.groupBy(F.col("at.doc_id").cast("long").alias("d")).agg(F.count("*").alias("n"))]
+    for _ in range(2):
+        levels.append(levels[-1].groupBy(F.shiftright("d", 16).alias("d")).agg(F.sum("n").alias("n")))
+    start = levels[2].select("d", (F.sum("n").over(Window.orderBy("d")) - F.col("n")).alias("start"))
+    for level in (levels[1], levels[0]):
+        inside = level.select("d", (F.sum("n").over(Window.partitionBy(F.shiftright("d", 16)).orderBy("d")) - F.col("n")).alias("inside"))
+        above = start.select(F.col("d").alias("up"), "start")
+        start = inside.join(above, F.shiftright("d", 16) == F.col("up")).select("d", (F.col("start") + F.col("inside")).alias("start"))
     rank = F.row_number().over(Window.partitionBy("at.doc_id").orderBy("at.pos"))
     return first.withColumn("rank", rank).join(start, F.col("at.doc_id") == F.col("d")).select("term", (F.col("start") + F.col("rank") - 1).cast("long").alias("term_id"))
 
@@ -70,7 +103,7 @@ def tfidf(docs: DataFrame, tokenizer: Callable[[Column], Column] = white_space)
     return joined.select("doc_id", "term", tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("tfidf"))
 
 
-def vectors(weights: DataFrame, ids: DataFrame) -> DataFrame:
-    """``(doc_id, vector)``: ``id:weight`` of a document's terms in order of id, joined by blanks."""
+def vectors(weights: DataFrame, ids: DataFrame, digits: int = 6) -> DataFrame:
+    """``(doc_id, vector)``: ``id:weight`` of a document's terms in order of id, weights of so many digits, joined by blanks."""
     pairs = weights.join(ids, "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "tfidf"))).alias("p"))
-    return pairs.select("doc_id", F.array_join(F.transform("p", lambda x: F.concat(x["term_id"].cast("string"), F.lit(":"), x["tfidf"].cast("string"))), " ").alias("vector"))
+    return pairs.select("doc_id", F.array_join(F.transform("p", lambda x: F.concat(x["term_id"].cast("string"), F.lit(":"), F.round(x["tfidf"], digits).cast(f"decimal(18,{digits})").cast("string"))), " ").alias("vector"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,10 +14,13 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or where the session has none (one machine) a temporary folder of this process."""
+    """``spark.checkpoint.dir``. Where a session in one process has none, a temporary folder of that process stands in; on a
+    cluster executors wouldn't see each other's files there, so it is an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="arbor-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)

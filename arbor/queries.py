@@ -88,6 +88,22 @@ def libsvm_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return points.select("label", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
 
 
+@query("SELECT c_custkey AS id, CAST(c_custkey AS DOUBLE) AS label, CAST(c_nationkey AS DOUBLE) AS f0, c_acctbal AS f1 FROM customer")
+def labeled_point_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/points-roundtrip"
+    libsvm.to_points(libsvm.assemble(table(spark, d, "customer"), "c_custkey", ["c_nationkey", "c_acctbal"])).write.mode("overwrite").text(path)
+    points = libsvm.parse_points(spark.read.text(path))
+    return points.select(F.col("label").cast("long").alias("id"), "label", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) AS line FROM documents WHERE text IS NOT NULL AND trim(text) <> ''")
+def documents_by_line(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/documents-by-line"
+    docs = table(spark, d, "documents").where("text is not null and trim(text) <> ''").orderBy("doc_id")
+    docs.select(F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " ")).alias("value")).write.mode("overwrite").text(path)
+    return libsvm.read_documents(spark, path).select("doc_id", F.md5(F.col("text").cast("binary")).alias("line"))
+
+
 # Sampling
 
 _SPLIT = sampling.uniform_sql("o_orderkey", 7)
@@ -154,6 +170,24 @@ def binned_points_local(spark: SparkSession, d: str) -> DataFrame:
     return _binned(spark, d, "local")
 
 
+_FEW = 500
+_DRAWN = f"(SELECT p_size FROM part WHERE {sampling.uniform_sql('p_partkey', 7, str(sampling.SAMPLE_STREAM))} < {_FEW}.0 / greatest({_FEW}, (SELECT count(*) FROM part)))"
+
+
+@query(o.query(o.greedy_thresholds(_DRAWN, "p_size", 16), "SELECT CAST(i AS INTEGER) AS s, t AS threshold FROM g", True))
+def binning_sample(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("double")).alias("features"))
+    (found,) = binning.find_thresholds(part, 1, 16, _FEW, "distributed", 7, part.count(), F.col("p_partkey"))
+    return spark.createDataFrame(list(enumerate(found)), "s int, threshold double")
+
+
+@query(o.query(o.greedy_thresholds(_DRAWN, "p_size", 16, "local"), "SELECT CAST(i AS INTEGER) AS s, t AS threshold FROM g", True))
+def binning_sample_local(spark: SparkSession, d: str) -> DataFrame:
+    part = table(spark, d, "part").select("p_partkey", F.array(F.col("p_size").cast("double")).alias("features"))
+    (found,) = binning.find_thresholds(part, 1, 16, _FEW, "local", 7, part.count(), F.col("p_partkey"))
+    return spark.createDataFrame(list(enumerate(found)), "s int, threshold double")
+
+
 # One level
 
 KINDS: dict[str, tuple[str, imp.Impurity, o.Sums]] = {
@@ -271,6 +305,48 @@ def cart_local_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _nodes(spark, d, _params(3, dialect="local", min_node_size=40))
 
 
+@query(
+    o.query(
+        [*_line()[:-1], o.local_thresholds(FEATURES, "src"), *o.tree("t", "b", 3, _params(3, dialect="local", min_node_size=40), o.Sums(empty=0.0))],
+        "SELECT round(sqrt(avg((y - pred) * (y - pred))), 9) AS rmse FROM t_out",
+    )
+)
+def cart_local_rmse(spark: SparkSession, d: str) -> DataFrame:
+    points = line_points(spark, d)
+    scored = models.train_tree(points, _params(3, dialect="local", min_node_size=40)).predict(points)
+    return scored.agg(F.round(metrics.rmse_of(F.col("label"), F.col("prediction")), 9).alias("rmse"))
+
+
+def _part_tree(p: TreeParams) -> list[str]:
+    src = "src AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS y, 1 AS w, p_retailprice, CAST(substr(p_brand, 7) AS INTEGER) AS brand FROM part)"
+    bins, thresholds = o.distinct_bins(["p_retailprice", "brand"], "src", "p_partkey, y, w, p_retailprice, brand")
+    if p.dialect == "local":
+        thresholds = o.local_thresholds(["p_retailprice", "brand"], "src")
+    return [src, bins, thresholds, *o.tree("t", "b", 2, p, o.Sums(empty=0.0) if p.dialect == "local" else o.Sums())]
+
+
+_SINK, _SINK_LOCAL = _params(2, max_bins=1 << 20), _params(2, max_bins=1 << 20, dialect="local")
+
+
+@query(o.query(_part_tree(_SINK), "SELECT p_partkey AS id, y AS label, round(pred, 9) AS prediction FROM t_out"))
+def prediction_sink(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/predictions"
+    points = part_points(spark, d)
+    libsvm.write_predictions(models.train_tree(points, _SINK).predict(points), path)
+    read = spark.read.option("sep", "\t").schema("id long, label double, prediction double").csv(path)
+    return read.select("id", "label", F.round("prediction", 9).alias("prediction"))
+
+
+@query(o.query(_part_tree(_SINK_LOCAL), "SELECT round(pred, 9) AS prediction, y AS label, p_retailprice AS f0, CAST(brand AS DOUBLE) AS f1 FROM t_out"))
+def prediction_sink_local(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/predictions-local"
+    points = part_points(spark, d)
+    libsvm.write_predictions(models.train_tree(points, _SINK_LOCAL).predict(points), path, "local")
+    lines = spark.read.text(path).select(F.substring_index("value", "\t", 1).cast("double").alias("p"), F.substring_index("value", "\t", -1).alias("value"))
+    read = libsvm.dense(libsvm.parse_lines(lines), 2)
+    return read.select(F.round("p", 9).alias("prediction"), "label", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
+
+
 @query(_tree_query(_params(2)))
 def model_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/model-roundtrip"
@@ -378,6 +454,28 @@ def gb_local_round2(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(models.train_boost(line_points(spark, d), params=_LOCAL)[0].frame(spark))
 
 
+_TWO_ROUNDS = "SELECT label, b0, b1, b2, round(f + 0.1 * pred, 6) AS prediction FROM u_out"
+
+
+def _boost_predictions(spark: SparkSession, d: str, p: BoostParams) -> DataFrame:
+    """Predictions of a boosted model, with the bins of the three features: distinct values count from 0."""
+    points = line_points(spark, d)
+    model, _ = models.train_boost(points, params=p)
+    found = binning.find_thresholds(points, 3, 32, MANY, p.dialect, 7, 1 << 20)
+    bins = binning.binned(F.col("features"), found, p.dialect)
+    return model.predict(points).select("label", *(F.get(bins, F.lit(i)).alias(f"b{i}") for i in range(3)), F.round("prediction", 6).alias("prediction"))
+
+
+@query(o.query(_boost_sql(_BOOST, 1), _TWO_ROUNDS))
+def gbrt_predict(spark: SparkSession, d: str) -> DataFrame:
+    return _boost_predictions(spark, d, _BOOST)
+
+
+@query(o.query(_boost_sql(_LOCAL, 2), _TWO_ROUNDS))
+def gb_local_predict(spark: SparkSession, d: str) -> DataFrame:
+    return _boost_predictions(spark, d, _LOCAL)
+
+
 _DEPTH1 = BoostParams(max_depth=1, bin_samples=MANY, num_round=2, learn_rate=0.1)
 _X = "CASE r.split_f WHEN 0 THEN l_discount WHEN 1 THEN l_tax ELSE l_linenumber END"
 _SCORE = "CASE WHEN r.split_f IS NULL THEN r.predict WHEN {x} < r.threshold THEN l.predict ELSE q.predict END"
@@ -456,6 +554,8 @@ def _forest_sql(label: str, p: ForestParams, sums: o.Sums) -> list[str]:
         f"src AS (SELECT p_partkey, CAST({label} AS DOUBLE) AS y, p_retailprice, CAST(substr(p_brand, 7) AS INTEGER) AS brand FROM part)",
         *o.distinct_bins(["p_retailprice", "brand"], "src", "p_partkey, y"),
     ]
+    if p.dialect == "local":
+        out[-1] = o.local_thresholds(["p_retailprice", "brand"], "src")
     cuts = list(enumerate(sampling.poisson_thresholds(p.row_rate), start=1))
     for t in range(p.num_trees):
         weight = "".join(f"CASE WHEN u >= {x} THEN {k} ELSE " for k, x in reversed(cuts)) + "0" + " END" * len(cuts)
@@ -486,6 +586,15 @@ def rf_errors(spark: SparkSession, d: str) -> DataFrame:
     return errors.select("trees", F.round("rmse", 9).alias("rmse"))
 
 
+_FOREST_LOCAL = ForestParams(max_depth=2, max_bins=1 << 20, bin_samples=MANY, num_trees=3, col_rate=0.5, dialect="local")
+
+
+@query(o.query(_forest_sql("p_size", _FOREST_LOCAL, o.Sums(empty=0.0)), f"SELECT p_partkey AS id, a.y AS label, round((a.pred + b.pred + c.pred) / 3, 9) AS prediction {_JOINED}"))
+def rf_local(spark: SparkSession, d: str) -> DataFrame:
+    points = part_points(spark, d)
+    return models.train_forest(points, _FOREST_LOCAL, F.col("id")).predict(points).select("id", "label", F.round("prediction", 9).alias("prediction"))
+
+
 _VOTES = ForestParams(impurity="Gini", max_depth=2, max_bins=1 << 20, bin_samples=MANY, num_trees=3, col_rate=0.5)
 
 
@@ -519,6 +628,26 @@ def term_counts(spark: SparkSession, d: str) -> DataFrame:
     return tfidf.term_counts(table(spark, d, "documents").select("doc_id", "text")).drop("doc_terms")
 
 
+@query(f"""WITH {_TERMS}, c AS (SELECT doc_id, term, count(*) AS n FROM term GROUP BY doc_id, term),
+x AS (SELECT doc_id, term, n / sum(n) OVER (PARTITION BY doc_id) AS tf FROM c), df AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+ids AS (SELECT term, row_number() OVER (ORDER BY doc_id, pos) - 1 AS term_id FROM (SELECT term, doc_id, pos FROM term QUALIFY row_number() OVER (PARTITION BY term ORDER BY doc_id, pos) = 1))
+SELECT doc_id, string_agg(term_id || ':' || CAST(CAST(round(tf * ln((SELECT count(*) FROM documents)::DOUBLE / (df + 1)), 6) AS DECIMAL(18,6)) AS VARCHAR), ' ' ORDER BY term_id) AS vector
+FROM x JOIN df USING (term) JOIN ids USING (term) GROUP BY doc_id""")
+def tfidf_vectors(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return tfidf.vectors(tfidf.tfidf(docs), tfidf.dictionary(docs))
+
+
+LEXICON = ("an", "and", "ar", "are", "en", "ent", "er", "es", "in", "ing", "on", "or", "re", "st", "te", "ter", "the", "then")
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '{"|".join(sorted(LEXICON, key=lambda w: (-len(w), w)))}|[A-Za-z0-9]+|[^ \\t\\n\\r]')) AS term FROM documents)
+SELECT doc_id, term, count(*) AS count FROM w GROUP BY doc_id, term""")
+def segmented_terms(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return tfidf.term_counts(docs, tfidf.longest_matches(LEXICON)).drop("doc_terms")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Nodes of a regression tree of depth 3."""
     return cart_depth3_nodes(spark, d)

@@ -40,18 +40,20 @@ def feature_width(points: DataFrame, features: str = "features") -> int:
 
 
 def line_ids(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``id``: the position of a line in its files as text, gapless, from the line counts of the partitions.
+    """``lines`` of text files with ``id``: the position of a line in its files as text, gapless, files in order of their paths.
 
-    Partitions are numbered and counted in one pass of cheap columns, so no task sees all lines.
+    Lines are counted by the piece of a file (path and first byte) that a task reads, in one pass of cheap columns, so no task
+    sees all lines. A row for each piece, a small part of the files' size, comes to the driver.
     """
-    part = lines.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
-    counts = part.groupBy("_p").agg(F.count("*").alias("n"), F.min("_m").alias("m0")).orderBy("_p").collect()
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at")]
+    part = lines.select("*", *place, F.monotonically_increasing_id().alias("_m"))
+    counts = part.groupBy("_file", "_at").agg(F.count("*").alias("n"), F.min("_m").alias("m0")).orderBy("_file", "_at").collect()
     base, total = [], 0
     for r in counts:
-        base.append((r["_p"], total - r["m0"]))
+        base.append((r["_file"], r["_at"], total - r["m0"]))
         total += r["n"]
-    shift = lines.sparkSession.createDataFrame(base or [(-1, 0)], "_p int, _shift long")
-    return part.join(F.broadcast(shift), "_p").withColumn("id", (F.col("_m") + F.col("_shift")).cast("string")).drop("_p", "_m", "_shift")
+    shift = lines.sparkSession.createDataFrame(base, "_file string, _at long, _shift long")
+    return part.join(F.broadcast(shift), ["_file", "_at"]).withColumn("id", (F.col("_m") + F.col("_shift")).cast("string")).drop("_file", "_at", "_m", "_shift")
 
 
 def read_libsvm(spark: SparkSession, path: str, is_class: bool = False, with_ids: bool = True, compat_clamp: bool = True) -> DataFrame:
@@ -60,6 +62,32 @@ def read_libsvm(spark: SparkSession, path: str, is_class: bool = False, with_ids
     return normalise_labels(parse_lines(line_ids(lines) if with_ids else lines), is_class, compat_clamp)
 
 
+def parse_points(lines: DataFrame, line: str = "value") -> DataFrame:
+    """``(label double, features array<double>)`` of labelled points as text, in the forms that MLlib writes and reads:
+    ``(label,[v,v,...])``, ``(label,(size,[ids],[values]))`` with ids from 0, and ``label,v v ...``.
+
+    White space around the parts doesn't count, blank lines are left out, and a number that can't be read is an error.
+    """
+    t = F.regexp_replace(F.col(line), r"\s+", " ")
+    numbers = lambda s, sep: F.transform(F.filter(F.split(s, sep), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("double"))
+    group = lambda k: F.regexp_extract(t, r"^ ?\( ?([^,]+), ?\( ?(\d+) ?, ?\[([^\]]*)\] ?, ?\[([^\]]*)\]", k)
+    ids, values = F.transform(numbers(group(3), ","), lambda x: x.cast("int")), numbers(group(4), ",")
+    pairs = F.map_from_arrays(ids, values)
+    size = group(2).cast("int")
+    sparse = F.when(size == 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(size, F.lit(1)) - 1), lambda i: F.coalesce(F.try_element_at(pairs, i), F.lit(0.0))))
+    bracket = F.regexp_extract(t, r"\[([^\]]*)\]", 1)
+    label = F.trim(F.regexp_replace(F.substring_index(t, ",", 1), r"^ ?\(", "")).cast("double")
+    features = F.when(t.rlike(r"^ ?\([^\[]*\("), sparse).when(t.contains("["), numbers(bracket, ",")).otherwise(numbers(F.regexp_extract(t, ",(.*)$", 1), " "))
+    kept = [c for c in lines.columns if c != line]
+    return lines.where(F.trim(t) != "").select(*kept, label.alias("label"), features.alias("features"))
+
+
+def to_points(points: DataFrame) -> DataFrame:
+    """``value``: ``(label,[v,v,...])`` of each point, which :func:`parse_points` reads back."""
+    values = F.array_join(F.transform("features", lambda v: v.cast("string")), ",")
+    return points.select(F.concat(F.lit("("), F.col("label").cast("string"), F.lit(",["), values, F.lit("])")).alias("value"))
+
+
 def dense(points: DataFrame, width: int) -> DataFrame:
     """``features`` as array<double> of ``width``, 0 where a map has nothing."""
     return points.withColumn("features", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("features", i), F.lit(0.0)))) if width else points.withColumn(

@@ -82,3 +82,20 @@ def test_search_equals_count(spark, dialect):
     df = spark.createDataFrame(rows, "features array<double>")
     plain = F.array(*(b.bin_of(F.get("features", F.lit(f)), F.array(*map(F.lit, t)).cast("array<double>"), dialect) for f, t in enumerate(cuts)))
     assert df.where(~b.binned(F.col("features"), cuts, dialect).eqNullSafe(plain)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_equal_rows_are_drawn_each_for_itself(spark, seed):
+    """Few different rows, many times each: a sample of rows holds all of them, and so all thresholds are found."""
+    points = spark.range(60000).select("id", F.array((F.col("id") % 3).cast("double"), (F.col("id") % 2).cast("double")).alias("features"))
+    for key in (None, F.col("id")):
+        assert b.find_thresholds(points, 2, 32, 100, "distributed", seed, 60000, key) == [[1.0, 2.0], [1.0]]
+
+
+def test_samples_have_their_size(spark):
+    from arbor.functions.sampling import bernoulli
+
+    rows = spark.range(40000)
+    for key in (None, F.col("id")):
+        assert abs(bernoulli(rows, 0.1, 5, key).count() - 4000) < 300
+    assert bernoulli(rows, 1.0, 5).count() == 40000

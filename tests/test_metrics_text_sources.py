@@ -137,3 +137,43 @@ def test_errors_of_a_growing_forest(spark):
     got = {r["trees"]: r["rmse"] for r in models.forest_errors(model, points).collect()}
     assert sorted(got) == [1, 2, 3]
     assert abs(got[3] - metrics.rmse(model.predict(points))) < 1e-9
+
+
+def test_labeled_points_as_text(spark):
+    lines = ["(1.0,[0.5,2.0])", " ( -1 , [ 3 , 4e-1 ] ) ", "(2.0,(4,[1,3],[7.0,8.5]))", "(0.0,(3,[],[]))", "3,1.5 2.5", "", "(5.0,[])"]
+    got = libsvm.parse_points(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [(r["label"], r["features"]) for r in got] == [(1.0, [0.5, 2.0]), (-1.0, [3.0, 0.4]), (2.0, [0.0, 7.0, 0.0, 8.5]), (0.0, [0.0, 0.0, 0.0]), (3.0, [1.5, 2.5]), (5.0, [])]
+    points = spark.createDataFrame([(1.5, [0.1, -2.0, 1e-9]), (0.0, [3.0])], "label double, features array<double>")
+    assert libsvm.parse_points(libsvm.to_points(points)).exceptAll(points).count() == 0
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        libsvm.parse_points(spark.createDataFrame([("(x,[1.0])",)], "value string")).collect()
+
+
+def test_longest_matches_equal_a_plain_walk(spark):
+    lexicon = ["中", "中国", "中国人", "人民", "国", "a.b", "c++", "c"]
+    text = "中国人民 a.bc++ 国x12中人 axb cc+民"
+
+    def walk(s):
+        out, i = [], 0
+        while i < len(s):
+            if s[i].isspace():
+                i += 1
+                continue
+            word = max((w for w in lexicon if s.startswith(w, i)), key=len, default=None)
+            run = next((k for k in range(i, len(s)) if not (s[k].isascii() and s[k].isalnum())), len(s)) - i
+            n = len(word) if word else max(1, run)
+            out.append(s[i : i + n])
+            i += n
+        return out
+
+    one = spark.createDataFrame([(text,)], "t string")
+    assert one.select(tfidf.longest_matches(lexicon)(F.col("t"))).first()[0] == walk(text)
+    assert one.select(tfidf.longest_matches([])(F.col("t"))).first()[0][0] == "中"
+
+
+def test_line_ids_follow_file_names(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name, size in (("b", 5), ("a", 90), ("c", 40)):
+        (tmp_path / "d" / name).write_text("".join(f"{name}{i}\n" for i in range(size)))
+    got = libsvm.read_documents(spark, str(tmp_path / "d")).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == [f"{n}{i}" for n, size in (("a", 90), ("b", 5), ("c", 40)) for i in range(size)]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbor.functions import impurity as imp
+from arbor.functions import sampling
 from arbor.operators import grow as g
 from arbor.operators import models as m
 from arbor.operators import tree as t
@@ -145,3 +146,17 @@ def test_nested_conditions_equal_the_walk(spark, monkeypatch):
     nested = model.predict(points).collect()
     monkeypatch.setattr(t, "MOST_NESTED", 0)
     assert model.predict(points).collect() == nested
+
+
+def test_labels_that_are_not_classes_are_refused(spark):
+    for bad in ([0.0, 0.5], [0.0, 1e9], [-1.0, 1.0]):
+        points = spark.createDataFrame([(y, [float(i)]) for i, y in enumerate(bad * 20)], "label double, features array<double>")
+        with pytest.raises(ValueError, match="whole numbers"):
+            m.train_multi_boost(points)
+
+
+def test_equal_rows_draw_weights_of_their_own(spark):
+    points = spark.range(4000).select(F.lit(1.0).alias("label"), F.array(F.lit(2.0)).alias("features"))
+    data = m.prepare(points, TreeParams())
+    weights = data.rows.select(sampling.poisson_weight(F.col("key"), 0.6, 3).alias("w")).groupBy("w").count().collect()
+    assert len(weights) >= 3 and abs(sum(r["w"] * r["count"] for r in weights) / 4000 - 0.6) < 0.06
