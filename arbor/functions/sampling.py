@@ -44,10 +44,11 @@ def poisson_weight(key: Column, rate: float, seed: int, tree: Column | int = 0)
     if rate >= 1:
         return F.lit(1)
     u = uniform(key, seed, tree)
-    out = F.lit(0)
-    for k, t in enumerate(poisson_thresholds(rate), start=1):
-        out = F.when(u >= t, k).otherwise(out)
-    return out
+    cuts = poisson_thresholds(rate)
+    out = F.when(u < cuts[0], 0)  # most rows are done after a comparison or two
+    for k, t in enumerate(cuts[1:], start=1):
+        out = out.when(u < t, k)
+    return out.otherwise(len(cuts))
 
 
 def subset_size(n_features: int, col_rate: float) -> int:

@@ -7,15 +7,13 @@ to the driver. Trees and classes share the pass through their place in the key.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbor.functions import impurity as imp
 from arbor.functions.sampling import feature_subset
 from arbor.operators.binning import Thresholds
-from arbor.operators.tree import Node, leaf_of_bins
+from arbor.operators.tree import MOST_NESTED, Node, leaf_of_bins, leaves_of_bins
 from arbor.plans.params import TreeParams
 
 KEY = ["tree_id", "class_id", "node_id"]
@@ -62,20 +60,14 @@ def node_stats(rows: DataFrame, impurity: imp.Impurity) -> DataFrame:
     return agg.select(*KEY, "rows", "n", impurity.value(F.col).alias("impurity"), impurity.predict(F.col).alias("predict"))
 
 
-@dataclass(frozen=True)
-class Targets:
-    """What is grown: trees by id, each for these classes. y, w: label and weight as expressions of (row, tree_id, class_id)."""
-
-    trees: tuple[int, ...]
-    classes: tuple[int, ...]
-
-
 def routed(rows: DataFrame, nodes: dict[tuple[int, int], list[Node]], only: set[tuple[int, int]] | None = None) -> DataFrame:
     """``rows(tree_id, class_id, bins, ...)`` with node_id, by the trees so far."""
+    live = {key: tree for key, tree in nodes.items() if only is None or key in only}
+    if len(live) > 1 or any(len(tree) > MOST_NESTED for tree in live.values()):
+        return leaves_of_bins(rows, live)
     out: Column = F.lit(None).cast("long")
-    for (t, k), tree in nodes.items():
-        if only is None or (t, k) in only:
-            out = F.when((F.col("tree_id") == t) & (F.col("class_id") == k), leaf_of_bins(tree, F.col("bins"))).otherwise(out)
+    for (t, k), tree in live.items():
+        out = F.when((F.col("tree_id") == t) & (F.col("class_id") == k), leaf_of_bins(tree, F.col("bins"))).otherwise(out)
     return rows.withColumn("node_id", out)
 
 
@@ -92,6 +84,7 @@ def grow(rows: DataFrame, thresholds: Thresholds, impurity: imp.Impurity, p: Tre
         grown[r["tree_id"], r["class_id"]] = [Node(r["tree_id"], r["class_id"], 1, 0, r["n"] if local else r["rows"], r["impurity"], r["predict"])]
     frontier = [n for tree in grown.values() for n in tree]
     spark = rows.sparkSession
+    rows = rows.where("w > 0")  # the others count in no sum, and a bin with no other rows adds no better split
     for depth in range(p.max_depth):
         if local:
             frontier = [n for n in frontier if n.count > p.min_node_size]

@@ -19,6 +19,8 @@ from arbor.plans.storage import discard, store
 
 #: Rounds of boosting between two stored score tables: an expression holds that many trees per class at most.
 STORE_EVERY = 5
+#: Trees that grow in one pass have so many nodes at most: plans hold them as arrays.
+MOST_NODES = 1 << 17
 
 
 @dataclass
@@ -159,8 +161,10 @@ def _impurity(p: TreeParams, labels: tuple[float, ...]) -> imp.Impurity:
 
 
 def train_forest(points: DataFrame, params: ForestParams | None = None, key: Column | None = None, trees_per_pass: int = 16) -> ForestModel:
-    """A random forest. Rows are binned once; up to ``trees_per_pass`` trees grow in one pass, the tree in every key."""
+    """A random forest. Rows are binned once; up to ``trees_per_pass`` trees, fewer of deep ones, grow in one pass, the tree in
+    every key."""
     p = params or ForestParams()
+    trees_per_pass = max(1, min(trees_per_pass, MOST_NODES >> (p.max_depth + 1)))
     data = prepare(points, p, p.impurity == "Gini", key)
     nodes: list[Node] = []
     for lo in range(0, p.num_trees, trees_per_pass):

@@ -86,6 +86,29 @@ def leaf_of_bins(nodes: list[Node], bins: Column) -> Column:
     return _descend(nodes, _right_of_bins(bins), "split_s", "node_id", "bigint")
 
 
+def leaves_of_bins(rows: DataFrame, trees: dict[tuple[int, int], list[Node]]) -> DataFrame:
+    """``rows(tree_id, class_id, bins, ...)`` with ``node_id``, the node reached in the tree of that id and class; null where there
+    is none.
+
+    The nodes of all trees are positions in shared arrays, and a level is one step from a position to the next, so neither
+    the number of trees nor their size makes the compiled loop longer; only the depth does.
+    """
+    flat = [n for key in sorted(trees) for n in sorted(trees[key], key=lambda n: n.node_id)]
+    at = {(n.tree_id, n.class_id, n.node_id): i for i, n in enumerate(flat)}
+    first, classes = min(t for t, _ in trees), max(k for _, k in trees) + 1
+    slots = (max(t for t, _ in trees) - first + 1) * classes
+    roots = array_literal([at.get((first + i // classes, i % classes, 1), -1) for i in range(slots)], "int")
+    feature = array_literal([-1 if n.is_leaf else n.split_f for n in flat], "int")
+    cut = array_literal([0 if n.is_leaf else n.split_s for n in flat], "int")
+    left = array_literal([0 if n.is_leaf else at[n.tree_id, n.class_id, 2 * n.node_id] for n in flat], "int")
+    place = F.col("_place")
+    out = rows.withColumn("_place", F.get(roots, (F.col("tree_id") - first) * classes + F.col("class_id")))
+    for _ in range(max(n.depth for n in flat)):
+        right = F.get(F.col("bins"), F.get(feature, place)) > F.get(cut, place)
+        out = out.withColumn("_place", F.when(F.get(feature, place) < 0, place).otherwise(F.get(left, place) + right.cast("int")))
+    return out.withColumn("node_id", F.get(array_literal([n.node_id for n in flat], "bigint"), place)).drop("_place")
+
+
 def predict_bins(nodes: list[Node], bins: Column) -> Column:
     """Prediction of one tree for a binned row, equal to what its raw values give."""
     return _descend(nodes, _right_of_bins(bins), "split_s", "predict", "double")
