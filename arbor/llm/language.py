@@ -2,12 +2,13 @@
 
 Every language has a context tree over bytes of order 0 to 3 with frozen counts. A byte is coded in the longest context
 that the tree has; a context in which it never followed is left by an escape (method C: the number of different followers
-against the number of occurrences), down to a uniform code. The code length of a text under a language is the exact sum of
-these costs, in 1/256 bit; the language of the shortest code is predicted.
+against the number of occurrences), and the bytes that followed there are ruled out in the shorter ones, down to a uniform
+code over the bytes that the language never had. So the probabilities of all bytes after a context add up to 1. The code
+length of a text under a language is the sum of these costs, rounded to 1/256 bit; the language of the shortest code is
+predicted.
 
-All trees are flattened into one table of costs, with a row for every context that any tree holds, so that scoring is two
-table lookups per byte in numpy. Bytes beyond the most frequent ones share one symbol, which costs the same extra bits in
-all languages.
+The trees of all languages are tables keyed by context or by context and byte. The costs of what any language has at order 3
+are stored in full; the others are put together from the lower orders.
 """
 
 from __future__ import annotations
@@ -23,60 +24,115 @@ from pyspark.sql import functions as F
 from arbor.llm import textbytes as tb
 from arbor.llm.common import crc_of_id, fresh, quoted, ship
 
+#: Bytes whose costs are put together in one step.
+_PART = 1 << 16
 UNKNOWN = "und"
 SCALE = 256.0
+START, UNSEEN = 0, 1
 
 
 @dataclass(frozen=True)
 class TrainingBounds:
-    """Bounds of the model, all of the fit; scoring reads every byte of every text.
+    """Bounds of the labelled sample; scoring reads every byte of every text, and the trees hold whatever the sample has.
 
-    per_language: about so many labelled documents of each language are learned from, chosen by a hash of id and text.
-    symbols: distinct byte symbols, one of which stands for all rarer bytes; contexts: rows of order 3 in the table.
+    per_language: about so many documents of each language are learned from, chosen by a hash of id and text; longest: those of
+    more bytes aren't.
     """
 
     per_language: int = 400
-    symbols: int = 112
-    contexts: int = 8192
+    longest: int = 1 << 15
     seed: int = 17
 
 
+class Places:
+    """Distinct integer keys and the place of each among them, by a hash table of numpy arrays."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = np.asarray(keys, dtype=np.int64)
+        self.mask = (1 << (4 * len(self.keys) + 1).bit_length()) - 1
+        self.table = np.full(self.mask + 1, -1, dtype=np.int32)
+        left, slot = np.arange(len(self.keys), dtype=np.int32), self._slot(self.keys)
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]  # of several for one slot the last one stays
+            out = self.table[slot] != left
+            left, slot = left[out], (slot[out] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) & self.mask
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int32)
+        slot = self._slot(keys)
+        found = self.table[slot]
+        doubt = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
+        while len(doubt):
+            slot[doubt] = (slot[doubt] + 1) & self.mask
+            found[doubt] = self.table[slot[doubt]]
+            doubt = doubt[(found[doubt] >= 0) & (self.keys[found[doubt]] != keys[doubt])]
+        return found
+
+
 @dataclass
 class ContextTrees:
-    """languages: names in order; symbol: byte to symbol (0 is the start of a text); row: (s1, s2, s3) to a row of costs;
-    costs: (rows * symbols, languages) in 1/256 bit."""
+    """languages: names in order; symbol: of every byte. Of a context there are two numbers for each language: what a symbol costs
+    in bits that follows the next shorter one (``own``), besides its count there, and what one costs that doesn't (``out``).
+    All are arrays with a row for each place and a column for each language.
+    """
 
     languages: list[str]
     symbol: np.ndarray
-    row: np.ndarray
-    costs: np.ndarray
-
-    @property
-    def symbols(self) -> int:
-        return int(round(len(self.row) ** (1 / 3)))
-
-
-def _ppm(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Costs in bits of contexts (rows) whose counts are given, over the costs of their shorter contexts."""
-    total, kinds = counts.sum(axis=-1, keepdims=True).astype(np.float64), (counts > 0).sum(axis=-1, keepdims=True)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        own = -np.log2(counts / (total + kinds))
-        escape = -np.log2(kinds / (total + kinds))
-    return np.where(total == 0, lower, np.where(counts > 0, own, escape + lower))
-
-
-def _grams(texts: list[np.ndarray], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of four symbols in a row and how often they occur, counted in blocks of texts. Symbol 0 precedes every text."""
-    a = int(symbol.max()) + 1
+    size: int
+    own1: np.ndarray  # by symbol: order 0 after it
+    out1: np.ndarray
+    bare1: np.ndarray  # by symbol: order 1 without a longer context
+    bare_out1: np.ndarray
+    pair: np.ndarray  # by two symbols: less the log of the count, or the whole cost of lower orders
+    has_pair: np.ndarray
+    contexts2: Places
+    own2: np.ndarray
+    out2: np.ndarray
+    bare2: np.ndarray
+    bare_out2: np.ndarray
+    triples: Places
+    triple: np.ndarray
+    has_triple: np.ndarray
+    contexts3: Places
+    own3: np.ndarray
+    out3: np.ndarray
+    grams: Places
+    costs: np.ndarray  # in 1/256 bit
+
+    def below2(self, c2: np.ndarray, c1: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Bits of symbols that order 2 doesn't have after its context: what orders 1, 0 and the rest make of them."""
+        at, p = self.contexts2.of(c2 * self.size + c1), c1 * self.size + s
+        known = (at >= 0)[:, None]
+        own, out = np.where(known, self.own2[at], self.bare1[c1]), np.where(known, self.out2[at], self.bare_out1[c1])
+        return np.where(self.has_pair[p], own, out) + self.pair[p]
+
+    def below3(self, c3: np.ndarray, c2: np.ndarray, c1: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Bits of symbols that order 3 doesn't have after its context."""
+        short = c2 * self.size + c1
+        at, at2, t = self.contexts3.of(c3 * self.size**2 + short), self.contexts2.of(short), self.triples.of(short * self.size + s)
+        known, known2, has = (at >= 0)[:, None], (at2 >= 0)[:, None], (t >= 0)[:, None]
+        own = np.where(known, self.own3[at], np.where(known2, self.bare2[at2], 0.0))
+        out = np.where(known, self.out3[at], np.where(known2, self.bare_out2[at2], 0.0))
+        return np.where(has & self.has_triple[t], own, out) + np.where(has, self.triple[t], self.below2(c2, c1, s))
+
+
+def _grams(texts: list[np.ndarray], symbol: np.ndarray, a: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of four symbols in a row and how often they occur, counted in blocks of texts. START precedes every text."""
     kinds, counts, block, size = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [], 0
     for i, text in enumerate(texts):
         block.append(text)
         size += len(text) + 3
         if size < tb.BLOCK and i + 1 < len(texts):
             continue
-        runs = [np.concatenate([np.zeros(3, dtype=np.int32), symbol[t].astype(np.int32)]) for t in block]
+        runs = [np.concatenate([np.zeros(3, dtype=np.int64), symbol[t].astype(np.int64)]) for t in block]
         s = np.concatenate(runs)
-        g = ((s[:-3] * np.int32(a) + s[1:-2]) * np.int32(a) + s[2:-1]) * np.int32(a) + s[3:]
+        g = ((s[:-3] * a + s[1:-2]) * a + s[2:-1]) * a + s[3:]
         keep = np.ones(len(g), dtype=bool)  # no gram reaches from one text into the next
         ends = np.cumsum([len(r) for r in runs])[:-1]
         for j in (1, 2, 3):
@@ -85,71 +141,123 @@ def _grams(texts: list[np.ndarray], symbol: np.ndarray) -> tuple[np.ndarray, np.
         kinds.append(found.astype(np.int64))
         counts.append(n)
         block, size = [], 0
-    merged, at = np.unique(np.concatenate(kinds), return_inverse=True)
-    return merged, np.bincount(at, weights=np.concatenate(counts), minlength=len(merged))
+    return _summed(np.concatenate(kinds), np.concatenate(counts))
 
 
-def fit(texts: list[str], langs: list[str], bounds: TrainingBounds | None = None) -> ContextTrees:
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    kinds, at = np.unique(keys, return_inverse=True)
+    return kinds, np.bincount(at, weights=n, minlength=len(kinds))
+
+
+class _Order:
+    """Counts of one language at one order: of symbols after a context, and of contexts with what a longer one leaves of them."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, a: int, order: int) -> None:
+        self.grams, self.n, self.a = grams, n, a
+        self.place, (self.contexts, self.total) = Places(grams), _summed(grams // a, n)
+        self.kinds = np.bincount(np.searchsorted(self.contexts, grams // a), minlength=len(self.contexts)).astype(np.float64)
+        self.at, self.cut = Places(self.contexts), a**order
+
+    def count(self, grams: np.ndarray) -> np.ndarray:
+        at = self.place.of(grams)
+        return np.where(at >= 0, self.n[at] if len(self.n) else 0.0, 0.0)
+
+    def parts(self, contexts: np.ndarray, longer: _Order | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(own, out) in bits after contexts of this order, or of the longer one, whose symbols are then ruled out here. By
+        method C a context is left with the number of its different symbols against that of all; without any it costs nothing.
+        """
+        at = self.at.of(contexts % self.cut)
+        total, kinds = (np.where(at >= 0, x[at] if len(x) else 0.0, 0.0) for x in (self.total, self.kinds))
+        if longer is not None and len(longer.contexts):
+            known = longer.at.of(contexts)
+            shared = np.bincount(np.searchsorted(longer.contexts, longer.grams // self.a), weights=self.count(longer.grams % (self.cut * self.a)), minlength=len(longer.contexts))
+            total, kinds = total - np.where(known >= 0, shared[known], 0.0), kinds - np.where(known >= 0, longer.kinds[known], 0.0)
+        own = np.log2(np.maximum(total + kinds, 1.0))
+        return own, np.where(kinds > 0, own - np.log2(np.maximum(kinds, 1.0)), 0.0)
+
+
+def fit(texts: list[str], langs: list[str]) -> ContextTrees:
     """Context trees of labelled texts. Without any text the model has no language and predicts ``und``."""
-    b = bounds or TrainingBounds()
-    if not 3 <= b.symbols <= 200:
-        raise ValueError("symbols must be from 3 to 200: a code of four fits 32 bits")
     languages = sorted(set(langs))
     data = [np.frombuffer(t.encode("utf-8", "surrogatepass"), dtype=np.uint8) for t in texts]
-    seen = sum((np.bincount(d, minlength=256) for d in data), np.zeros(256, dtype=np.int64))
-    order = np.lexsort((np.arange(256), -seen))
-    used = [int(x) for x in order if seen[x]][: b.symbols - 2]
-    symbol = np.full(256, 1, dtype=np.uint8)
-    symbol[used] = np.arange(2, 2 + len(used))
-    a = 2 + len(used)
-    grams = [_grams([d for d, x in zip(data, langs, strict=True) if x == lang], symbol) for lang in languages]
-    spare = np.log2(a)
-    contexts = np.concatenate([np.zeros(0, dtype=np.int64), *(kinds // a for kinds, _ in grams)])
-    kinds, at = np.unique(contexts, return_inverse=True)
-    weight = np.bincount(at, weights=np.concatenate([np.zeros(0), *(n for _, n in grams)]), minlength=len(kinds)) if len(kinds) else np.zeros(0)
-    chosen = np.sort(kinds[np.lexsort((kinds, -weight))[: b.contexts]])
-    row = np.tile(np.arange(a * a, dtype=np.int32), a)
-    row[chosen] = a * a + np.arange(len(chosen), dtype=np.int32)
-    costs = np.zeros((a * a + len(chosen), a, max(1, len(languages))), dtype=np.int16)
-    for i, (kinds, n) in enumerate(grams):
-        c2 = np.bincount(kinds % a**3, weights=n, minlength=a**3).reshape(a, a, a)
-        c1, c0 = c2.sum(axis=0), c2.sum(axis=(0, 1))
-        o0 = _ppm(c0[None, :], np.full((1, a), spare))
-        o1 = _ppm(c1, np.broadcast_to(o0, (a, a)))
-        for k in range(a):  # contexts of order 2, by the first of their symbols
-            costs[k * a : (k + 1) * a, :, i] = np.rint(_ppm(c2[k], o1) * SCALE)
-        at = np.searchsorted(chosen, kinds // a)
-        inside = (at < len(chosen)) & (chosen[np.minimum(at, len(chosen) - 1)] == kinds // a) if len(chosen) else np.zeros(len(kinds), dtype=bool)
-        c3 = np.bincount(at[inside] * a + kinds[inside] % a, weights=n[inside], minlength=len(chosen) * a).reshape(len(chosen), a)
-        first, second = chosen // a % a, chosen % a
-        for lo in range(0, len(chosen), 1024):
-            part = slice(lo, lo + 1024)
-            below = np.stack([_ppm(c2[x, y][None, :], o1[y][None, :])[0] for x, y in zip(first[part], second[part], strict=True)])
-            costs[a * a + lo : a * a + lo + len(below), :, i] = np.rint(_ppm(c3[part], below) * SCALE)
-    return ContextTrees(languages, symbol, row, costs.reshape(-1, max(1, len(languages))))
+    seen = np.flatnonzero(sum((np.bincount(d, minlength=256) for d in data), np.zeros(256, dtype=np.int64)))
+    symbol = np.full(256, UNSEEN, dtype=np.int64)  # bytes that no text has cost the same after every context, so one symbol does for them
+    symbol[seen] = np.arange(2, 2 + len(seen))
+    a = 2 + len(seen)
+    orders = []
+    for lang in languages:
+        g, n = _grams([d for d, x in zip(data, langs, strict=True) if x == lang], symbol, a)
+        orders.append([_Order(*_summed(g % a ** (k + 1), n), a, k) for k in range(4)])
+    wide = max(1, len(languages))
+    stacked = lambda rows, parts: np.stack(parts, axis=1) if parts else np.zeros((rows, wide))
+    union = lambda k, contexts: np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *((o[k].contexts if contexts else o[k].grams) for o in orders)]))
+
+    def both(keys: np.ndarray, short: int, longer: int | None) -> tuple[np.ndarray, np.ndarray]:
+        found = [o[short].parts(keys, None if longer is None else o[longer]) for o in orders]
+        return stacked(len(keys), [f[0] for f in found]), stacked(len(keys), [f[1] for f in found])
+
+    def counts(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Less the logs of counts, and where there are any."""
+        n = stacked(len(keys), [o[k].count(keys) for o in orders])
+        return -np.log2(np.maximum(n, 1.0)), n > 0
+
+    one = np.arange(a, dtype=np.int64)
+    own1, out1 = both(one, 0, 1)
+    out1 = out1 + np.log2(np.maximum(256.0 - np.array([[len(o[0].grams) for o in orders] or [0]]), 1.0))
+    bare1, bare_out1 = both(one, 1, None)
+    two = np.arange(a * a, dtype=np.int64)
+    log0, has0 = counts(one, 0)
+    log1, has_pair = counts(two, 1)
+    rest = np.where(has0[two % a], own1[two // a], out1[two // a]) + log0[two % a]
+    pair = np.where(has_pair, log1, rest)
+    keys2 = union(2, True)
+    own2, out2 = both(keys2, 1, 2)
+    bare2, bare_out2 = both(keys2, 2, None)
+    keys3 = union(3, True)
+    own3, out3 = both(keys3, 2, 3)
+    leave3 = both(keys3, 3, None)
+    triples, grams = union(2, False), union(3, False)
+    none = Places(np.zeros(0, dtype=np.int64))
+    pad = lambda x: x if len(x) else np.zeros((1, wide), dtype=x.dtype)
+    model = ContextTrees(
+        languages, symbol, a, own1, out1, bare1, bare_out1, pair, has_pair, Places(keys2), *map(pad, (own2, out2, bare2, bare_out2)), none, np.zeros((1, wide)), np.zeros((1, wide), dtype=bool),
+        Places(keys3), pad(own3 + leave3[1]), pad(out3 + leave3[1]), none, np.zeros((1, wide), dtype=np.int32),
+    )
+    log2_, has = counts(triples, 2)
+    lower = model.below2(triples // (a * a), triples // a % a, triples % a)
+    model.triples, model.triple, model.has_triple = Places(triples), pad(np.where(has, log2_, lower)), pad(has)
+    log3, has = counts(grams, 3)
+    lower = model.below3(grams // a**3, grams // a**2 % a, grams // a % a, grams % a)
+    here = leave3[0][np.searchsorted(keys3, grams // a)] if len(grams) else np.zeros((0, wide))
+    model.grams, model.costs = Places(grams), pad(np.rint(np.where(has, here + log3, lower) * SCALE).astype(np.int32))
+    return model
 
 
 def code_lengths(model: ContextTrees, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(documents, languages) code lengths in 1/256 bit, as exact integers."""
-    docs, a = len(offsets) - 1, model.symbols
+    docs, a = len(offsets) - 1, model.size
     out = np.zeros((docs, model.costs.shape[1]), dtype=np.int64)
     n = len(data)
     for lo in range(0, n, tb.BLOCK):
         hi = min(lo + tb.BLOCK, n)
         back = min(lo, 3)
-        s = np.zeros(hi - lo + 3, dtype=np.int32)
+        s = np.zeros(hi - lo + 3, dtype=np.int64)
         s[3 - back :] = model.symbol[data[lo - back : hi]]
         c3, c2, c1 = s[:-3].copy(), s[1:-2].copy(), s[2:-1].copy()
         i, j = np.searchsorted(offsets, lo, side="right") - 1, np.searchsorted(offsets, hi, side="left")
         first = np.unique(offsets[max(0, np.searchsorted(offsets, lo - 2, side="left")) : j])
-        for k, past in ((0, (c1, c2, c3)), (1, (c2, c3)), (2, (c3,))):  # what lies before the start of a text is symbol 0
+        for k, past in ((0, (c1, c2, c3)), (1, (c2, c3)), (2, (c3,))):  # what lies before the start of a text is START
             at = first + k
             limit = np.append(first[1:], n) if len(first) else first
             at = at[(at < limit) & (at >= lo) & (at < hi)] - lo
             for c in past:
-                c[at] = 0
-        index = model.row[(c3 * a + c2) * a + c1] * np.int32(a) + s[3:]
-        cost = model.costs[index]
+                c[at] = START
+        at = model.grams.of(((c3 * a + c2) * a + c1) * a + s[3:])
+        cost = model.costs[at]
+        new = np.flatnonzero(at < 0)
+        for part in np.array_split(new, -(-len(new) // _PART) or 1):
+            if len(part):
+                cost[part] = np.rint(model.below3(c3[part], c2[part], c1[part], s[3:][part]) * SCALE)
         begins = np.concatenate([[lo], offsets[i + 1 : j]]) - lo
         has = np.flatnonzero(np.diff(np.append(begins, hi - lo)) > 0)
         out[i + has] += np.add.reduceat(cost, begins[has], axis=0, dtype=np.int64)
@@ -193,13 +301,14 @@ def has_letter(text: Column) -> Column:
 def training_rows(docs: DataFrame, lang: Column, text: Column, id_col: Column, bounds: TrainingBounds) -> tuple[list[str], list[str]]:
     """The bounded sample that is learned from: counts by language first, then about ``per_language`` rows each by hash.
 
-    Rows come in a fixed order, whatever the partitions; copies of one text may be taken more than once.
+    Rows come in a fixed order, whatever the partitions; copies of one text may be taken more than once. Null and long texts
+    (``longest``) aren't taken.
     """
-    rows = docs.select(lang.alias("lang"), text.alias("text"), id_col.alias("id")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.select(lang.alias("lang"), text.alias("text"), id_col.alias("id")).where(F.col("lang").isNotNull() & (F.octet_length("text") <= bounds.longest))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], []
-    u = F.pmod(F.xxhash64("id", F.lit(bounds.seed)), F.lit(1_000_000))
+    u = F.pmod(F.xxhash64("id", "text", F.lit(bounds.seed)), F.lit(1_000_000))
     rate = F.lit(0)
     for name, n in sorted(sizes.items()):
         rate = F.when(F.col("lang") == name, F.lit(min(1_000_000, -(-1_000_000 * bounds.per_language // n)))).otherwise(rate)
@@ -235,4 +344,4 @@ def train_on(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", te
     b = bounds or TrainingBounds()
     out = held_out if held_out is not None else crc_of_id(quoted(id_col)) % 3 == 1
     texts, langs = training_rows(docs.where(~out), quoted(lang_col), quoted(text_col).cast("string"), quoted(id_col), b)
-    return fit(texts, langs, b)
+    return fit(texts, langs)

@@ -83,50 +83,68 @@ def test_media_columns_of_odd_texts(spark):
     assert j.media_columns(df.where("false")).count() == 0
 
 
-def slow_bits(texts, text, symbol, contexts):
-    """Code length of a text under counts of ``texts``: longest context first, escapes by method C."""
-    a = int(symbol.max()) + 1
+def slow_bits(texts, text):
+    """Code length of the bytes of a text under counts of ``texts``: longest context first, escapes by method C, exclusion."""
     counts = {}
     for t in texts:
-        s = [0, 0, 0, *symbol[np.frombuffer(t.encode(), dtype=np.uint8)].tolist()]
+        s = [-1, -1, -1, *t.encode()]
         for i in range(3, len(s)):
             for k in range(4):
                 counts.setdefault(tuple(s[i - k : i]), {}).setdefault(s[i], 0)
                 counts[tuple(s[i - k : i])][s[i]] += 1
-    total, s = 0.0, [0, 0, 0, *symbol[np.frombuffer(text.encode(), dtype=np.uint8)].tolist()]
+    total, s = 0.0, [-1, -1, -1, *text.encode()]
     for i in range(3, len(s)):
+        gone = set()
         for k in (3, 2, 1, 0, -1):
             if k < 0:
-                total += math.log2(a)
+                total += math.log2(256 - len(counts.get((), {})))
                 break
-            context = tuple(s[i - k : i])
-            c = counts.get(context)
-            if not c or (k == 3 and context not in contexts):
+            c = counts.get(tuple(s[i - k : i]), {})
+            live = {x: n for x, n in c.items() if x not in gone}
+            gone |= set(c)
+            if not live:
                 continue
-            n = sum(c.values()) + len(c)
-            if s[i] in c:
-                total -= math.log2(c[s[i]] / n)
+            n = sum(live.values()) + len(live)
+            if s[i] in live:
+                total -= math.log2(live[s[i]] / n)
                 break
-            total -= math.log2(len(c) / n)
+            total -= math.log2(len(live) / n)
     return total
 
 
+PROBE = ["the chat", "", "é", "zzz qq", "the cat sat on the mat and the rat sat on the hat", "là", "кот и пёс", "猫坐在垫子上", "\x00\x7f~", "кошка the 猫 là"]
+
+
 def test_code_lengths_equal_a_slow_coder(monkeypatch):
-    texts = ["the cat sat on the mat", "a hat that the rat had", "le chat est là", "un été à la mer"]
-    langs = ["en", "en", "fr", "fr"]
-    model = lg.fit(texts, langs, lg.TrainingBounds(contexts=40))
-    a = model.symbols
-    contexts = {(c // a // a, c // a % a, c % a) for c in np.flatnonzero(model.row >= a * a).tolist()}
-    assert len(contexts) == 40
-    probe = ["the chat", "", "é", "zzz qq", "the cat sat on the mat and the rat sat on the hat", "là"]
-    data, offs = np.frombuffer("".join(probe).encode(), dtype=np.uint8), np.cumsum([0, *(len(p.encode()) for p in probe)])
+    texts = ["the cat sat on the mat", "a hat that the rat had", "le chat est là", "un été à la mer", "кот сидит на ковре", "猫坐在垫子上，狗也在", ""]
+    langs = ["en", "en", "fr", "fr", "ru", "zh", "en"]
+    model = lg.fit(texts, langs)
+    data, offs = np.frombuffer("".join(PROBE).encode(), dtype=np.uint8), np.cumsum([0, *(len(p.encode()) for p in PROBE)])
     for block in (1 << 20, 7):
         monkeypatch.setattr(tb, "BLOCK", block)
         got = lg.code_lengths(model, data, offs) / lg.SCALE
-        for i, p in enumerate(probe):
+        for i, p in enumerate(PROBE):
             for k, lang in enumerate(model.languages):
-                want = slow_bits([t for t, x in zip(texts, langs, strict=True) if x == lang], p, model.symbol, contexts)
-                assert abs(got[i, k] - want) < 0.003 * max(1, len(p.encode()))
+                want = slow_bits([t for t, x in zip(texts, langs, strict=True) if x == lang], p)
+                assert abs(got[i, k] - want) < 0.003 * max(1, len(p.encode())), (p, lang)
+
+
+def test_probabilities_after_a_context_add_up():
+    model = lg.fit(["the cat sat on the mat", "that hat", "un été à la mer"], ["en", "en", "fr"])
+    for context in (b"", b"t", b"th", b"the", b"xth", b"x", "é".encode(), b"la ", bytes(range(200, 203))):
+        texts = [context + bytes([x]) for x in range(256)]
+        offs = np.cumsum([0, *map(len, texts)])
+        bits = lg.code_lengths(model, np.frombuffer(b"".join(texts), dtype=np.uint8), offs) - lg.code_lengths(model, np.frombuffer(context, dtype=np.uint8), np.array([0, len(context)]))
+        assert np.abs(np.exp2(-bits / lg.SCALE).sum(axis=0) - 1).max() < 0.003
+
+
+def test_places_of_keys():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000))
+    places = lg.Places(keys)
+    assert (places.of(keys) == np.arange(len(keys))).all()
+    other = np.setdiff1d(rng.integers(0, 1 << 40, 5000), keys)
+    assert (places.of(other) == -1).all() and (lg.Places(keys[:0]).of(keys) == -1).all() and lg.Places(keys[:1]).of(keys[:2]).tolist() == [0, -1]
 
 
 def test_languages_held_out_and_odd_texts(spark, sf):
