@@ -28,10 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written once as Parquet and read back, and its place; executors that are lost take nothing with them."""
+    """``df`` written once as Parquet and read back, and its place; executors that are lost take nothing with them.
+
+    The schema is known, so reading back needs no job of its own to look into the files.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path), path
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:
