@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import io
-import shutil
-import tempfile
 import uuid
 import zipfile
 from pathlib import Path
@@ -13,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from arbor.plans.storage import discard, shared_dir, store
+
 _SHIPPED: set[str] = set()
 
 
@@ -22,43 +20,29 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session has none (tests, one machine) a temporary folder of this process stands in.
-    """
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = tempfile.mkdtemp(prefix="arbor-")
-        atexit.register(shutil.rmtree, _LOCAL["dir"], True)
-    return f"file://{_LOCAL['dir']}"
-
-
 def write_shared(df: DataFrame, name: str) -> str:
     """Write ``df`` once as Parquet to a fresh place in the shared folder; the files go when the application ends.
 
     Unlike an RDD checkpoint this computes the plan once, is compressed and is read back column by column.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
-    return path
+    return _stored(df, name)[1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` read back from :func:`write_shared`; cuts lineage and survives lost executors."""
-    return df.sparkSession.read.parquet(write_shared(df, name))
+    return _stored(df, name)[0]
+
+
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    read, path = store(df, name)
+    place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)
+    return read, path
 
 
 def drop_shared(spark: SparkSession, path: str) -> None:
     """Delete a place written by :func:`write_shared` before the application ends."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    discard(spark, path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -80,8 +80,9 @@ def layers(most: int, weights: str) -> tuple[np.ndarray, np.ndarray]:
 def weighted(elements: np.ndarray, counts: np.ndarray, weights: str = "log") -> tuple[np.ndarray, np.ndarray]:
     """Layers of the different elements of every document, each a number with its weight in units as lowest byte, and how many
     a document has. ``elements``: hashes in order of documents, as often as they occur."""
-    doc = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((elements, doc))
+    doc = np.repeat(np.arange(len(counts), dtype=np.uint16 if len(counts) <= 1 << 16 else np.int64), counts)
+    order = np.argsort(elements)
+    order = order[np.argsort(doc[order], kind="stable")]  # by counting where documents are few
     e, d = elements[order], doc[order]
     new = np.ones(len(e), dtype=bool)
     new[1:] = (e[1:] != e[:-1]) | (d[1:] != d[:-1])
@@ -195,18 +196,19 @@ def components(edges: DataFrame, before: DataFrame | None = None, name: str = "c
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     if before is not None:
         edges = edges.unionByName(before.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    path = write_shared(edges.distinct(), name)
-    while not _are_stars(spark.read.parquet(path)):
-        e = spark.read.parquet(path)
+    edges = edges.distinct()
+    kind = edges.schema
+    path = write_shared(edges, name)
+    while not _are_stars(e := spark.read.schema(kind).parquet(path)):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = _meet(both, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _meet(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = write_shared(small, name)
         drop_shared(spark, path)
         path = new
-    return spark.read.parquet(path).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def _units(layers_: Column) -> Column:
@@ -265,30 +267,40 @@ def _consensus_candidates(large: DataFrame, counts: DataFrame) -> DataFrame:
     return _pair(_meet(known, best, "h").where("root <> center_root"), "key", "center")
 
 
-def _prefix_candidates(large: DataFrame, tokens: DataFrame, counts: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Pairs of different classes in large buckets that can be similar; for all others their prefixes prove that they aren't.
+def _proof_candidates(large: DataFrame, tokens: DataFrame, counts: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Pairs of different classes in large buckets that can be similar; for all others their counts prove that they aren't.
 
-    All layers have one order, those that fewest texts have first. A similar pair has ``similarity`` of the heavier text in
-    common, so without a layer in common among the first of both, up to where less than that share of a text is left, it can't
-    be similar. Nor can a pair whose common part there and the rest of the one that ends first together are too little. Layers that a
-    single class has in its prefixes make no pairs, and only texts outside the first class of a bucket ask, as every pair of
-    different classes has one.
+    A similar pair has ``similarity`` of the heavier text in common, so a text that shares less with all others together has no
+    partner. A pair that shares a rare layer (in at most ``p.rare`` texts, which bounds its pairs) is found by that; it stays if
+    what they share so, and the common layers of the poorer one, suffice. Any other pair shares common layers alone, so both
+    have ``similarity`` of their weight in those. These have one order, those that fewest texts have first: without one in
+    common among the first of both, up to where less than that share of a text is left, a pair can't be similar, nor if its
+    common part there and the rest of the one that ends first are too little. Common layers that a single class has there make
+    no pairs, and only texts outside the first class of a bucket ask, as every pair of different classes has one.
     """
     who = large.groupBy("key").agg(F.min("root").alias("root"), F.max((F.col("root") != F.col("top")).cast("int")).alias("asks"))
     room = F.col("weight") * (1 - p.similarity) + 1e-6
-    alive = _meet(who, counts, "key").where(F.col("weight") - F.col("shared") <= room)
     units = F.col("token").bitwiseAND(F.lit(255))
-    ahead = F.sum(units).over(Window.partitionBy("key").orderBy("n", "token")) - units + F.col("weight") - F.col("shared")
-    each = _meet(tokens.select("key", "token", "n"), alive, "key").withColumn("ahead", ahead).where(F.col("ahead") <= room)
-    end = F.max(F.struct("n", "token", (F.col("weight") - F.col("ahead") - units).alias("rest"))).over(Window.partitionBy("key"))
-    each = materialize(each.withColumn("end", end).select("token", "key", "root", "asks", "weight", "end"), "prefixes")
-    mixed = each.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("asks").alias("asked")).where("lo <> hi and asked = 1")
-    each = materialize(_meet(each, materialize(mixed.select("token"), "mixed"), "token"), "mixed_prefixes")
-    asking = each.where("asks = 1").select("token", *(F.col(c).alias(f"{c}_x") for c in ("key", "root", "weight", "end")))
-    fit = (F.col("weight") >= F.col("weight_x") * p.similarity - 1e-6) & (F.col("weight_x") >= F.col("weight") * p.similarity - 1e-6)
-    met = _meet(asking, each, "token").where((F.col("root_x") != F.col("root")) & fit).groupBy("key_x", "key", "weight_x", "weight", "end_x", "end").agg(F.sum(units).alias("met"))
+    alive = _meet(who, counts, "key").where(F.col("weight") - F.col("shared") <= room).select("key", "root", "asks", "common")
+    each = materialize(_meet(tokens, alive, "key"), "alive")
     need = F.lit(p.similarity / (1 + p.similarity)) * (F.col("weight_x") + F.col("weight")) - 1e-6
-    return _pair(met.where(F.col("met") + F.least("end_x", "end")["rest"] >= need), "key_x", "key")
+
+    def met(rows: DataFrame, bound: str) -> DataFrame:
+        """Pairs of an asking row and another of a different class, with what they share in units."""
+        asking = rows.where("asks = 1").select("token", *(F.col(c).alias(f"{c}_x") for c in ("key", "root", "weight", bound)))
+        fit = (F.col("weight") >= F.col("weight_x") * p.similarity - 1e-6) & (F.col("weight_x") >= F.col("weight") * p.similarity - 1e-6)
+        pairs = _meet(asking, rows, "token").where((F.col("root_x") != F.col("root")) & fit)
+        return pairs.groupBy("key_x", "key", "weight_x", "weight", f"{bound}_x", bound).agg(F.sum(units).alias("met"))
+
+    rare = met(each.where(F.col("n") <= p.rare), "common").where(F.col("met") + F.least("common_x", "common") >= need)
+    ahead = F.sum(units).over(Window.partitionBy("key").orderBy("n", "token")) - units + F.col("weight") - F.col("common")
+    first = each.where((F.col("n") > p.rare) & (F.col("weight") - F.col("common") <= room)).withColumn("ahead", ahead).where(F.col("ahead") <= room)
+    end = F.max(F.struct("n", "token", (F.col("weight") - F.col("ahead") - units).alias("rest"))).over(Window.partitionBy("key"))
+    first = materialize(first.withColumn("end", end).select("token", "key", "root", "asks", "weight", "end"), "prefixes")
+    mixed = first.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("asks").alias("asked")).where("lo <> hi and asked = 1")
+    first = materialize(_meet(first, materialize(mixed.select("token"), "mixed"), "token"), "mixed_prefixes")
+    common = met(first, "end").where(F.col("met") + F.least("end_x", "end")["rest"] >= need)
+    return _pair(rare, "key_x", "key").unionByName(_pair(common, "key_x", "key")).distinct()
 
 
 def text_classes(unique: DataFrame, texts: DataFrame, p: NearDuplicates) -> DataFrame:
@@ -298,7 +310,7 @@ def text_classes(unique: DataFrame, texts: DataFrame, p: NearDuplicates) -> Data
     members of a bucket are compared with its least key, which joins most groups with one pair for each member. Two texts may
     be alike and yet unlike that one, so buckets that still hold more than one class are gone through: those of up to
     ``p.small`` members pair by pair; larger ones by a second center, the text nearest to what the bucket has in common, and
-    then by :func:`_prefix_candidates`. No bucket has a cap: every pair of a bucket is in one class, is compared, or can't be
+    then by :func:`_proof_candidates`. No bucket has a cap: every pair of a bucket is in one class, is compared, or can't be
     similar. Where no bucket is open any more, the later steps have nothing to do and are left out.
     """
     entry = unique.select("key", F.explode("bands").alias("h"))
@@ -330,7 +342,7 @@ def text_classes(unique: DataFrame, texts: DataFrame, p: NearDuplicates) -> Data
         tested = tested.unionByName(again)
         large = _open_buckets(large.select("h", "key", "m"), stars)
         if not large.isEmpty():
-            stars = components(_near(test(_prefix_candidates(large, tokens, counts, p)), p), stars)
+            stars = components(_near(test(_proof_candidates(large, tokens, counts, p)), p), stars)
     return stars
 
 

@@ -97,7 +97,7 @@ def mixture(docs: DataFrame, labelled: DataFrame, mix: Mix | None = None, id_col
     from that. Rows are scored once, written to the shared folder and then read column by column for the fit.
     """
     mix = mix or Mix()
-    model = subword.train(*subword.labelled_sample(docs, labelled, id_col, "domain", text_col, mix.training.rows, mix.training.seed), mix.training)
+    model = subword.train(*subword.labelled_sample(docs, labelled, id_col, "domain", text_col, mix.training), mix.training)
     new = ("domain", "rate", "copies")
     kept = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
     scored = materialize(subword.predict(docs, model, text_col, kept), "scored")

@@ -69,7 +69,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from labels that aren't held out."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     held = crc_of_id(F.col("doc_id")) % 5 == 0
-    model = subword.train(*subword.labelled_sample(docs, load(spark, sf_dir, "labels").where(~held), "doc_id", "quality"))
+    labels = load(spark, sf_dir, "labels").where(~held).withColumn("quality", F.col("quality").cast("int"))
+    model = subword.train(*subword.labelled_sample(docs, labels, "doc_id", "quality"))
     scored = subword.predict(docs, model, carry=["doc_id"])
     good = F.get("posterior", F.lit(model.classes.index("1"))) if "1" in model.classes else F.lit(0.0)
     return scored.select("doc_id", held.alias("held_out"), good.alias("score"), (good >= 0.3).cast("int").alias("predicted"))

@@ -1,4 +1,4 @@
-"""Supervised subword embeddings: hashed vectors of words, word pairs and byte n-grams, averaged per document, with a softmax output.
+"""Supervised subword embeddings: hashed vectors of words, word pairs and character n-grams, averaged per document, with a softmax output.
 
 The model is trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. As the output is linear
 in the averaged vectors, the learned vectors and output weights are folded into one score per feature and class; a text is
@@ -25,9 +25,11 @@ FIXED = 2.0**20
 
 @dataclass(frozen=True)
 class SubwordTraining:
-    """rows: bound of the labelled sample; buckets: feature vectors; grams: lengths of byte n-grams."""
+    """rows: bound of the labelled sample; longest: texts of more bytes aren't learned from; buckets: feature vectors; grams: lengths
+    of character n-grams."""
 
     rows: int = 3000
+    longest: int = 1 << 15
     buckets: int = 1 << 16
     dims: int = 16
     grams: tuple[int, ...] = (3, 4)
@@ -49,34 +51,35 @@ class SubwordModel:
 def features(data: np.ndarray, offsets: np.ndarray, grams: tuple[int, ...], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Kinds of features in turn, each as (buckets of the features in order, number in each document).
 
-    Words are folded. A pair of neighbouring words is hashed by the exclusive or of their hashes, so that all pairs of a word
-    with itself share one vector, whatever the word. Byte n-grams are taken as they stand, from 3 or 4 bytes within a document.
+    Words are folded. A pair of neighbouring words is hashed in order, but all pairs of a word with itself share one vector,
+    whatever the word. N-grams are of UTF-8 characters as they stand within a document, which may be of any length: they come
+    in blocks.
     """
     shift = U64(64 - int(buckets).bit_length() + 1)
     words, n = tb.word_hashes(data, offsets)
     yield (words >> shift).astype(np.int64), n
     last = np.zeros(len(words), dtype=bool)
     last[np.cumsum(n)[n > 0] - 1] = True
-    pairs = words[:-1] ^ words[1:]
-    yield (tb.mix(pairs[~last[:-1]] + U64(1)) >> shift).astype(np.int64), np.maximum(n - 1, 0)
-    size = np.diff(offsets)
-    wide = data.astype(np.uint32)
-    for g in grams:
-        counts = np.maximum(size - g + 1, 0)
-        if len(data) < g:
-            yield np.zeros(0, dtype=np.int64), counts
-            continue
-        code = np.zeros(len(data) - g + 1, dtype=np.uint32)
-        for j in range(g):
-            code = (code << np.uint32(8)) | wide[j : j + len(code)]
-        hashed = (code + np.uint32(g)) * np.uint32(2654435761)
-        hashed = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(2246822519)
-        inside = np.zeros(len(data) + 1, dtype=np.int32)
-        ok = size >= g
-        np.add.at(inside, offsets[:-1][ok], 1)
-        np.add.at(inside, (offsets[1:] - g + 1)[ok], -1)
-        there = np.cumsum(inside)[: len(code)] > 0
-        yield (hashed[there] >> np.uint32(32 - int(buckets).bit_length() + 1)).astype(np.int64), counts
+    left, right = words[:-1][~last[:-1]], words[1:][~last[:-1]]
+    yield (tb.mix(np.where(left == right, U64(0), left * U64(3) + right) + U64(1)) >> shift).astype(np.int64), np.maximum(n - 1, 0)
+    docs, size, ahead = len(offsets) - 1, len(data), 4 * max(grams, default=0)
+    for lo in range(0, size, tb.BLOCK):
+        hi = min(lo + tb.BLOCK, size)
+        part = data[lo : min(hi + ahead, size)]
+        begins = (part & 0xC0) != 0x80
+        inner = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, lo + len(part))] - lo
+        begins[inner] = True  # a document begins with a character, whatever its bytes
+        start = np.append(np.flatnonzero(begins), len(part))
+        doc = np.searchsorted(offsets, start[:-1] + lo, side="right") - 1
+        power, inverse = tb.powers(len(part))
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(tb.BYTE_CODE[part] * power[: len(part)], out=total[1:])
+        mine = int(np.searchsorted(start[:-1], hi - lo))  # those that begin here; what follows only ends them
+        for g in grams:
+            m = max(0, min(mine, len(start) - g))
+            ok = doc[:m] == doc[g - 1 : g - 1 + m]
+            s, e, d = start[:m][ok], start[g : g + m][ok], doc[:m][ok]
+            yield (tb.mix((total[e] - total[s]) * inverse[s] + U64(g)) >> shift).astype(np.int64), np.bincount(d, minlength=docs)
 
 
 def train(texts: list[str], labels: list[str], p: SubwordTraining | None = None) -> SubwordModel:
@@ -178,18 +181,19 @@ def predict(docs: DataFrame, model: SubwordModel, text_col: str = "text", carry:
     return inner.mapInArrow(_scoring(shared), schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label: str, text_col: str = "text", rows: int = 3000, seed: int = 11) -> tuple[list[str], list[str]]:
-    """(texts, labels) of about ``rows`` labelled documents at most 2 * rows, chosen by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label: str, text_col: str = "text", p: SubwordTraining | None = None) -> tuple[list[str], list[str]]:
+    """(texts, labels) of about ``p.rows`` labelled documents, at most twice as many, chosen by a hash of the id.
 
     labels(id, label): null ids and labels are left out; the sampled labels are bounded and so can be broadcast. Rows come
-    in a fixed order. Documents with a null text count as empty.
+    in a fixed order. Documents with a null text count as empty; those of more than ``p.longest`` bytes are left out.
     """
+    rows, seed, longest = (p := p or SubwordTraining()).rows, p.seed, p.longest
     known = labels.select(quoted(id_col).alias("id"), quoted(label).cast("string").alias("label")).where("id is not null and label is not null").distinct()
     n = known.count()
     if not n:
         return [], []
     u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000))
     chosen = known.where(u < min(1_000_000, -(-1_000_000 * rows // n))).orderBy(F.xxhash64("id", F.lit(seed)), "id", "label").limit(2 * rows)
-    text = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text"))
+    text = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
     taken = text.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id", F.lit(seed)), "id", "label", F.xxhash64("text")).limit(2 * rows).collect()
     return [r["text"] for r in taken], [r["label"] for r in taken]

@@ -37,7 +37,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of rolling hashes, and of its inverse."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(n, BLOCK)
         _POWERS[:] = [np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, base, dtype=np.uint64)]), dtype=np.uint64) for base in (_BASE, _BASE_INV)]
@@ -97,7 +98,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         before = first[first > 0] - 1
         ends_here[before] = inside_word[before]
         start, end = np.flatnonzero(starts_here), np.flatnonzero(ends_here) + 1
-        power, inverse = _powers(len(part))
+        power, inverse = powers(len(part))
         total = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(FOLDED_CODE[part] * power[: len(part)], out=total[1:])
         hashes.append(mix((total[end] - total[start]) * inverse[start]))
