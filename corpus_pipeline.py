@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbor.llm import decontaminate, language, minhash, mixing, sharding
-from arbor.llm.common import load, quoted, write_shared
+from arbor.llm.common import load, materialize, quoted
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = spark.read.parquet(write_shared(stage(spark, docs, sf_dir), f"stage-{name}"))
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
