@@ -272,8 +272,8 @@ def _proof_candidates(large: DataFrame, tokens: DataFrame, counts: DataFrame, p:
 
     A similar pair has ``similarity`` of the heavier text in common, so a text that shares less with all others together has no
     partner. A pair that shares a rare layer (in at most ``p.rare`` texts, which bounds its pairs) is found by that; it stays if
-    what they share so, and the common layers of the poorer one, suffice. Any other pair shares common layers alone, so both
-    have ``similarity`` of their weight in those. These have one order, those that fewest texts have first: without one in
+    what they share so, and the common layers of the poorer one, suffice. Any other pair shares common layers alone, and both
+    have enough of those. These have one order, those that fewest texts have first: without one in
     common among the first of both, up to where less than that share of a text is left, a pair can't be similar, nor if its
     common part there and the rest of the one that ends first are too little. Common layers that a single class has there make
     no pairs, and only texts outside the first class of a bucket ask, as every pair of different classes has one.
@@ -285,21 +285,21 @@ def _proof_candidates(large: DataFrame, tokens: DataFrame, counts: DataFrame, p:
     each = materialize(_meet(tokens, alive, "key"), "alive")
     need = F.lit(p.similarity / (1 + p.similarity)) * (F.col("weight_x") + F.col("weight")) - 1e-6
 
-    def met(rows: DataFrame, bound: str) -> DataFrame:
-        """Pairs of an asking row and another of a different class, with what they share in units."""
-        asking = rows.where("asks = 1").select("token", *(F.col(c).alias(f"{c}_x") for c in ("key", "root", "weight", bound)))
+    def met(rows: DataFrame, more: list[str], able: Column) -> DataFrame:
+        """Pairs of an asking row and another of a different class that are able, with what they share in units."""
+        asking = rows.where("asks = 1").select("token", *(F.col(c).alias(f"{c}_x") for c in ("key", "root", "weight", *more)))
         fit = (F.col("weight") >= F.col("weight_x") * p.similarity - 1e-6) & (F.col("weight_x") >= F.col("weight") * p.similarity - 1e-6)
-        pairs = _meet(asking, rows, "token").where((F.col("root_x") != F.col("root")) & fit)
-        return pairs.groupBy("key_x", "key", "weight_x", "weight", f"{bound}_x", bound).agg(F.sum(units).alias("met"))
+        pairs = _meet(asking, rows, "token").where((F.col("root_x") != F.col("root")) & fit & able)
+        return pairs.groupBy("key_x", "key", "weight_x", "weight", *(x for c in more for x in (f"{c}_x", c))).agg(F.sum(units).alias("met"))
 
-    rare = met(each.where(F.col("n") <= p.rare), "common").where(F.col("met") + F.least("common_x", "common") >= need)
+    rare = met(each.where(F.col("n") <= p.rare), ["common"], F.lit(True)).where(F.col("met") + F.least("common_x", "common") >= need)
     ahead = F.sum(units).over(Window.partitionBy("key").orderBy("n", "token")) - units + F.col("weight") - F.col("common")
     first = each.where((F.col("n") > p.rare) & (F.col("weight") - F.col("common") <= room)).withColumn("ahead", ahead).where(F.col("ahead") <= room)
     end = F.max(F.struct("n", "token", (F.col("weight") - F.col("ahead") - units).alias("rest"))).over(Window.partitionBy("key"))
-    first = materialize(first.withColumn("end", end).select("token", "key", "root", "asks", "weight", "end"), "prefixes")
+    first = materialize(first.withColumn("end", end).select("token", "key", "root", "asks", "weight", "common", "end"), "prefixes")
     mixed = first.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("asks").alias("asked")).where("lo <> hi and asked = 1")
     first = materialize(_meet(first, materialize(mixed.select("token"), "mixed"), "token"), "mixed_prefixes")
-    common = met(first, "end").where(F.col("met") + F.least("end_x", "end")["rest"] >= need)
+    common = met(first, ["common", "end"], F.least("common_x", "common") >= need).where(F.col("met") + F.least("end_x", "end")["rest"] >= need)
     return _pair(rare, "key_x", "key").unionByName(_pair(common, "key_x", "key")).distinct()
 
 
