@@ -10,11 +10,13 @@ by a pattern: what lies between and within the matches gives their places, witho
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbor.functions.literals import array_literal
 from arbor.llm.common import quoted
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -23,6 +25,7 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
+_MATCH = "array<struct<start:int,kind:int,stop:int,hit:string>>"
 
 
 @dataclass(frozen=True)
@@ -43,19 +46,27 @@ class RandomTokens:
         return rf"[A-Za-z0-9+/_=-]{{{self.length},}}"
 
 
+#: Common words of identifiers and prose, from which ordinary samples are put together.
 _PARTS = (
     "get set user name account order item list file path data value count index time date session request response handler manager config option default image button "
     "window layout color width height background margin client server connection message queue worker thread process table column row key map cache buffer stream reader "
     "writer parser token string number integer boolean object array function method class module package version release build test result error warning status code "
-    "address street city country phone email customer product invoice payment report summary total amount price service query filter search page link title header footer"
+    "address street city country phone email customer product invoice payment report summary total amount price service query filter search page link title header footer "
+    "create update delete insert remove append start stop begin finish first second third before after under between within about above while every other house water "
+    "people school family letter mother father morning evening summer winter government information international development environment management performance "
+    "original document language history science nature animal garden kitchen picture question answer problem example different important possible national public "
+    "private secret password access login profile network system control display monitor schedule transaction identifier reference parameter attribute"
 ).split()
 
 
-SAMPLES = 2000
+#: What placeholders run through.
+_SEQUENCE = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SAMPLES = 6000
 
 
 def default_samples(spark: SparkSession) -> DataFrame:
-    """``(text, random boolean)``: base64 and hexadecimal digests against compounds of common words in usual spellings.
+    """``(text, random boolean)``: digests in hexadecimal, base64 and capitals against compounds of common words in usual spellings and
+    runs of letters and digits in their order.
 
     Made by SQL from the digests of row numbers, SAMPLES rows of each kind.
     """
@@ -63,17 +74,19 @@ def default_samples(spark: SparkSession) -> DataFrame:
     i = F.col("id")
     drawn = lambda k, n: F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", i.cast("string"), F.lit(str(k))).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("int")
     pick = [F.get(w, drawn(k, len(_PARTS))) for k in range(4)]
-    style = drawn(9, 6)
+    style = drawn(9, 7)
     ordinary = (
         F.when(style == 0, F.concat_ws("_", *pick))
         .when(style == 1, F.concat(pick[0], *map(F.initcap, pick[1:])))
         .when(style == 2, F.concat(*map(F.initcap, pick)))
         .when(style == 3, F.concat_ws("-", *pick[:3], (drawn(8, 30) + 2000).cast("string")))
         .when(style == 4, F.upper(F.concat_ws("_", *pick[:3])))
+        .when(style == 5, F.concat(pick[0], F.substring(F.lit(_SEQUENCE), drawn(8, 30) + 1, F.lit(16))))
         .otherwise(F.concat_ws("/", *pick))
     )
     digest = F.sha2(i.cast("string").cast("binary"), 256)
-    random = F.when(i % 4 == 0, F.substring(digest, 1, 40)).otherwise(F.translate(F.base64(F.unhex(digest)), "=", ""))
+    coded = F.translate(F.base64(F.unhex(digest)), "=", "")
+    random = F.when(i % 4 == 0, F.substring(digest, 1, 40)).when(i % 8 == 1, F.upper(coded)).otherwise(coded)
     ids = spark.range(SAMPLES)
     return ids.select(ordinary.alias("text"), F.lit(False).alias("random")).unionByName(ids.select(random.alias("text"), F.lit(True).alias("random")))
 
@@ -97,21 +110,71 @@ def train(samples: DataFrame, p: RandomTokens | None = None) -> list[float]:
     return [round(x, 4) for x in out]
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is made once. Inside a lambda any other expression is made anew for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """``op`` over each element and those before it. In blocks, so that the cost is all but linear: a fold that appends would copy
+    what it has for every element."""
+    block = 64
+    some = lambda v, lo, hi: F.aggregate(F.sequence(lo, hi), zero, lambda acc, j: op(acc, F.get(v, j)))  # noqa: E731  (a slice would copy all of them)
+
+    def whole(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(x["v"]) / block).cast("int") - 1), lambda b: some(x["v"], b * block, F.least(b * block + block, F.size(x["v"])) - 1))
+
+    def before(y: Column) -> Column:
+        step = lambda acc, w: F.struct(op(acc["sum"], w).alias("sum"), F.array_append(acc["out"], acc["sum"]).alias("out"))
+        return F.aggregate(y["whole"], F.struct(zero.alias("sum"), F.slice(y["whole"], 1, 0).alias("out")), step, lambda acc: acc["out"])
+
+    def each(z: Column) -> Column:
+        at = lambda i: F.shiftright(i, 6)
+        return F.transform(z["v"], lambda _, i: op(F.get(z["before"], at(i)), some(z["v"], at(i) * block, i)))
+
+    summed = lambda x: _once(F.struct(x["v"].alias("v"), whole(x).alias("whole")), lambda y: _once(F.struct(y["v"].alias("v"), before(y).alias("before")), each))
+    return _once(F.struct(values.alias("v")), lambda x: F.when(F.size(x["v"]) > 0, summed(x)).otherwise(x["v"]))
+
+
+def _matches(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
+    """Matches (start, kind, stop, hit) in code points; with ``least``, those whose group 2 has so many characters."""
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    second = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), F.length) if least else F.array().cast("array<int>")
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    parts = F.struct(hits.alias("hits"), second.alias("second"), gaps.alias("gaps"))
+
+    def spans(x: Column) -> Column:
+        stops = _running(F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["hits"])), x["hits"], lambda g, h: g + F.length(h)), lambda a, b: a + b, F.lit(0))
+        found = F.zip_with(x["hits"], stops, lambda h, stop: F.struct((stop - F.length(h)).alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), h.alias("hit")))
+        return F.filter(found, lambda _, i: F.get(x["second"], i) >= least) if least else found
+
+    return F.when(text.rlike(pattern), _once(parts, spans)).otherwise(F.array().cast(_MATCH))
+
+
 def _spans(text: Column, pattern: str, kind: int, least: int = 0) -> Column:
-    """Spans of the matches, in code points; with ``least``, of those whose group 2 has so many characters."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    second = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else found
-    gaps = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(found, F.length).alias("hit"), F.transform(second, F.length).alias("second"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    return F.transform(_matches(text, pattern, kind, least), _span)
+
+
+def _span(s: Column) -> Column:
+    return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        span = F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + x["hit"]).alias("stop"))
-        fits = x["hit"].isNotNull() & (x["second"] >= least)
-        return F.struct((at + F.coalesce(x["hit"], F.lit(0))).alias("at"), F.when(fits, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+def _free(spans_: Column, base: Column) -> Column:
+    """For each of the spans, which come in order, whether it overlaps none of the base spans: one sorted walk over both."""
+    mark = lambda own: lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(own).alias("own"))
+    end = 2**31 - 1
+
+    def walk(x: Column) -> Column:
+        tops = _running(F.transform(x["all"], lambda s: F.when(s["own"], 0).otherwise(s["stop"])), lambda a, b: F.greatest(a, b), F.lit(0))
+        nexts = F.reverse(_running(F.transform(F.reverse(x["all"]), lambda s: F.when(s["own"], end).otherwise(s["start"])), lambda a, b: F.least(a, b), F.lit(end)))
+        return _once(F.struct(x["all"].alias("all"), tops.alias("tops"), nexts.alias("nexts")), judge)
+
+    def judge(y: Column) -> Column:
+        each = F.transform(y["all"], lambda s, i: F.struct(s["own"].alias("own"), ((F.get(y["tops"], i) <= s["start"]) & (F.get(y["nexts"], i) >= s["stop"])).alias("free")))
+        return F.transform(F.filter(each, lambda s: s["own"]), lambda s: s["free"])
+
+    both = F.array_sort(F.concat(F.transform(spans_, mark(True)), F.transform(base, mark(False))))
+    return F.when((F.size(base) == 0) | (F.size(spans_) == 0), F.transform(spans_, lambda s: F.lit(True))).otherwise(_once(F.struct(both.alias("all")), walk))
 
 
 def _ratio(token: Column, table: Column) -> Column:
@@ -186,12 +249,15 @@ def spans(text: Column, table: list[float], p: RandomTokens | None = None) -> tu
     p = p or RandomTokens()
     text = F.coalesce(text, F.lit(""))
     base = F.array_sort(F.concat(_spans(text, ASSIGN, 0, 12), _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
-    ratios = F.array(*map(F.lit, table))
-    token = lambda s: F.substring(text, s["start"] + 1, s["stop"] - s["start"])
+    ratios = array_literal(table, "double")
     span = lambda at, s: F.struct((at + s["start"]).alias("start"), F.lit(3).alias("kind"), (at + s["stop"]).alias("stop"))
-    parts = lambda s: F.transform(_parts(token(s), ratios, p), lambda x: span(s["start"], x))
-    random = lambda s: (token(s).rlike("[0-9]") | _varied(token(s), p)) & (_ratio(token(s), ratios) >= p.ratio)
-    return base, F.transform(_spans(text, p.pattern, 3), lambda s: F.struct(s.alias("span"), random(s).alias("whole"), parts(s).alias("parts")))
+    parts = lambda s: F.transform(_parts(s["hit"], ratios, p), lambda x: span(s["start"], x))
+
+    def random(s: Column) -> Column:
+        least = F.when(s["hit"].rlike("[0-9]"), p.ratio).when(_varied(s["hit"], p), F.greatest(F.lit(p.ratio), p.plain / (F.length(s["hit"]) - 1)))
+        return F.coalesce(_ratio(s["hit"], ratios) >= least, F.lit(False))
+
+    return base, F.transform(_matches(text, p.pattern, 3), lambda s: F.struct(_span(s).alias("span"), random(s).alias("whole"), parts(s).alias("parts")))
 
 
 def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text", p: RandomTokens | None = None) -> DataFrame:
@@ -201,9 +267,11 @@ def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col:
     """
     base, runs = spans(quoted(text_col).cast("string"), table, p)
     rows = docs.select(quoted(id_col).alias(id_col), base.alias("base"), runs.alias("runs"))
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    likely = F.transform("runs", lambda r: F.when(r["whole"] & clear(r["span"]), F.array(r["span"])).otherwise(F.filter(r["parts"], clear)))
-    return rows.select(id_col, "base", F.array_sort(F.concat(F.col("base"), F.flatten(likely))).alias("all"))
+    rows = rows.withColumn("free", _free(F.transform("runs", lambda r: r["span"]), F.col("base")))
+    likely = F.flatten(F.zip_with("runs", "free", lambda r, free: F.when(r["whole"] & free, F.array(r["span"])).otherwise(r["parts"])))
+    rows = rows.select(id_col, "base", likely.alias("likely")).withColumn("free", _free(F.col("likely"), F.col("base")))
+    added = F.filter(F.zip_with("likely", "free", lambda s, free: F.struct(s.alias("span"), free.alias("free"))), lambda x: x["free"])
+    return rows.select(id_col, "base", F.array_sort(F.concat("base", F.transform(added, lambda x: x["span"]))).alias("all"))
 
 
 def rendered(spans_col: Column) -> Column:
@@ -262,9 +330,10 @@ SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 ids AS (SELECT range AS id, [{", ".join(map(_quote, _PARTS))}] AS w FROM range({SAMPLES})),
 samples AS (
-  SELECT FALSE AS random, CASE {_DRAW.format(k=9, n=6)} WHEN 0 THEN {" || '_' || ".join(_PICK)} WHEN 1 THEN {_PICK[0]} || {" || ".join(_TITLE[1:])} WHEN 2 THEN {" || ".join(_TITLE)}
-    WHEN 3 THEN {" || '-' || ".join(_PICK[:3])} || '-' || ({_DRAW.format(k=8, n=30)} + 2000) WHEN 4 THEN upper({" || '_' || ".join(_PICK[:3])}) ELSE {" || '/' || ".join(_PICK)} END AS text FROM ids
-  UNION ALL SELECT TRUE, CASE WHEN id % 4 = 0 THEN substr(sha256(CAST(id AS VARCHAR)), 1, 40) ELSE replace(base64(unhex(sha256(CAST(id AS VARCHAR)))), '=', '') END FROM ids),
+  SELECT FALSE AS random, CASE {_DRAW.format(k=9, n=7)} WHEN 0 THEN {" || '_' || ".join(_PICK)} WHEN 1 THEN {_PICK[0]} || {" || ".join(_TITLE[1:])} WHEN 2 THEN {" || ".join(_TITLE)}
+    WHEN 3 THEN {" || '-' || ".join(_PICK[:3])} || '-' || ({_DRAW.format(k=8, n=30)} + 2000) WHEN 4 THEN upper({" || '_' || ".join(_PICK[:3])})
+    WHEN 5 THEN {_PICK[0]} || substr('{_SEQUENCE}', {_DRAW.format(k=8, n=30)} + 1, 16) ELSE {" || '/' || ".join(_PICK)} END AS text FROM ids
+  UNION ALL SELECT TRUE, CASE WHEN id % 4 = 0 THEN substr(sha256(CAST(id AS VARCHAR)), 1, 40) WHEN id % 8 = 1 THEN upper(replace(base64(unhex(sha256(CAST(id AS VARCHAR)))), '=', '')) ELSE replace(base64(unhex(sha256(CAST(id AS VARCHAR)))), '=', '') END FROM ids),
 seen AS (SELECT random, {_CODE.format(at="i")} AS a, {_CODE.format(at="i + 1")} AS b FROM (SELECT random, text, unnest(range(1, length(text))) AS i FROM samples)),
 counts AS (SELECT random, a, b, count(*) AS n FROM seen WHERE a > 0 AND b > 0 GROUP BY ALL),
 cells AS (SELECT * FROM (SELECT unnest([TRUE, FALSE]) AS random), (SELECT unnest(range(1, {len(ALPHABET) + 1})) AS a), (SELECT unnest(range(1, {len(ALPHABET) + 1})) AS b)),
