@@ -1,10 +1,12 @@
 """Benchmark windows and URL rules against brute force, and the defined results for odd inputs."""
 
 import hashlib
+import math
 import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,10 +126,10 @@ def test_reputation_shrinks_and_filters(spark):
             rows.append((len(rows), f"http://{host}/x"))
             good.append((len(good), k < s))
     pages, outcomes = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(good, "page_id long, good boolean")
-    bound = {r["host"]: r["bound"] for r in u.host_reputation(pages, outcomes).collect()}
+    bound = {r["host"]: 1 - r["below"] for r in u.host_reputation(pages, outcomes).collect()}
     assert bound["good.a.com"] > 0.9 > bound["new.a.com"] > bound["new.b.com"] > bound["bad.b.com"] and bound["bad.b.com"] < 0.1
     alike = u.host_reputation(pages.where("url not like '%mid%'"), outcomes).collect()  # hosts that don't differ share a reputation
-    assert {r["host"]: r["bound"] for r in alike}["new.a.com"] > 0.95
+    assert {r["host"]: 1 - r["below"] for r in alike}["new.a.com"] > 0.95
     verdict = {r["host"]: r["verdict"] for r in u.url_verdicts(pages, outcomes).select(F.col("host"), "verdict").distinct().collect()}
     assert (verdict["good.a.com"], verdict["bad.b.com"]) == ("allow", "block")
 
@@ -139,3 +141,22 @@ def test_cutting_is_linear_in_the_text(spark):
     began = time.time()
     out = d.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).first()["text"]
     assert out.split() == [f"w{i}" for i in range(200_000) if i % 40] and time.time() - began < 60
+
+
+def test_posterior_probabilities_equal_an_integral(spark):
+    """The incomplete beta function against the trapezoid rule on the density, and against known quantiles."""
+    cases = [(9.9, 1.1), (10.9, 1.1), (14.0, 2.0), (0.4, 0.3), (1.0, 1.0), (700.0, 290.0), (3.0, 4000.0), (30000.0, 12000.0), (20.0, 9.0)]
+    got = spark.createDataFrame(cases, "a double, b double").select("a", "b", u.share_below(F.col("a"), F.col("b"), 0.7).alias("p")).collect()
+    for r in got:
+        a, b = r["a"], r["b"]
+        x = np.linspace(0, 0.7, 2_000_001)[1:] if a >= 1 else np.linspace(0, 0.7**a, 2_000_001)[1:] ** (1 / a)
+        log = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (a - 1) * np.log(x) + (b - 1) * np.log1p(-x)
+        want = np.trapezoid(np.exp(log), x) if a >= 1 else np.trapezoid(np.exp(log - (a - 1) * np.log(x)) / a, x**a)
+        assert abs(r["p"] - want) < (5e-4 if a + b > u.MANY else 1e-5), (a, b, r["p"], want)
+    assert got[0]["p"] < 0.05 and got[1]["p"] < 0.05  # their lower 5 % quantiles are 0.726 and 0.747
+
+
+def test_domains_and_suffixes(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "x.example.com:8080": ("example.com", "com"), "10.0.0.1:80": ("10.0.0.1", "address"), "[::1]": ("[::1]", "address"), "localhost": ("localhost", "localhost"), "co.uk": ("co.uk", "co.uk"), "": ("", "")}
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", u.domain_of(F.col("h")).alias("d"), u.suffix_of(F.col("h")).alias("s")).collect()
+    assert {r["h"]: (r["d"], r["s"]) for r in got} == hosts
