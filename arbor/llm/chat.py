@@ -12,15 +12,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbor.llm.common import quoted
+from arbor.llm.common import each_copy, quoted
 
 #: Turns of this many consecutive numbers form a block.
 BLOCK = 256
 ASSISTANT_HEAD, END = "<|assistant|>\n", "<|end|>\n"
 
 
+def escaped(text: Column) -> Column:
+    """``text`` without marks of the format: what stands between ``<`` and ``|`` of a mark, or of one so escaped, gets a backslash
+    more. Taking one away gives the text back.
+    """
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
 def _named(speaker: Column) -> Column:
-    return F.when(speaker == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), speaker, F.lit("|>\n")))
+    name = F.regexp_replace(escaped(speaker), r"\|(\\*)>", r"|\\$1>")
+    return F.when(speaker == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
 
 
 def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", speaker_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -29,13 +37,13 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
     Participants are the speakers of a conversation other than ``system``; a conversation without any has no rows. Turns are
     ordered by (turn, speaker, text) with nulls first; equal rows are turns of their own. A null speaker is a participant
-    with the name ``unknown``, a null text is empty, a null conversation id is a conversation. seg_start, seg_end: characters
+    with the name ``unknown``, texts and names are :func:`escaped`, so that none can forge a turn, a null text is empty, a null conversation id is a conversation. seg_start, seg_end: characters
     in the rendered dialogue, end exclusive; mask_start, mask_end: what a model is trained on, text and end mark of the
     assistant's turns, equal where nothing is (masked false).
     """
     speaker = F.coalesce(quoted(speaker_col).cast("string"), F.lit("unknown"))
     rows = turns.select(
-        quoted(conv_col).alias("conv"), quoted(turn_col).cast("long").alias("turn"), speaker.alias("speaker"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("text")
+        quoted(conv_col).alias("conv"), quoted(turn_col).cast("long").alias("turn"), speaker.alias("speaker"), escaped(F.coalesce(quoted(text_col).cast("string"), F.lit(""))).alias("text")
     )
     rows = rows.groupBy("conv", "turn", "speaker", "text").agg(F.count("*").alias("copies"))  # repeated rows travel once
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
@@ -53,7 +61,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     inside = Window.partitionBy(*keys, "block").orderBy("turn", "speaker", "text").rowsBetween(Window.unboundedPreceding, -1)
     placed = each.withColumn("char1", F.coalesce(F.sum(F.col("len") * F.col("copies")).over(inside), F.lit(0))).withColumn("turn1", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
     placed = placed.join(offset, F.col("conv").eqNullSafe(F.col("c")) & (F.col("perspective") == F.col("p")) & (F.col("block") == F.col("b")))
-    nth = placed.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    nth = each_copy(placed, "copies", "i")
     start = F.col("char0") + F.col("char1") + F.col("i") * F.col("len")
     full = nth.withColumn("seg_start", start)
     return full.select(
@@ -72,10 +80,10 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
 
 SQL = f"""
-WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, regexp_replace(coalesce(text, ''), '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS text FROM conversations),
 who AS (SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE speaker <> 'system'),
 e AS (SELECT r.conv_id, perspective, turn, speaker, text, speaker = perspective AS own,
-  CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>' ELSE '<|user name=' || speaker || '|>' END || chr(10) AS head
+  CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>' ELSE '<|user name=' || regexp_replace(regexp_replace(speaker, '<(\\\\*)\\|', '<\\\\\\1|', 'g'), '\\|(\\\\*)>', '|\\\\\\1>', 'g') || '|>' END || chr(10) AS head
   FROM r JOIN who ON r.conv_id IS NOT DISTINCT FROM who.conv_id),
 l AS (SELECT *, length(head) + length(text) + {len(END)} AS len FROM e),
 p AS (SELECT *, row_number() OVER w - 1 AS seq, coalesce(sum(len) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg_start

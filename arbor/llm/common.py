@@ -66,6 +66,15 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+def each_copy(rows: DataFrame, copies: str, nth: str) -> DataFrame:
+    """Every row as often as the column ``copies`` says, not at all below 1, with its number ``nth`` from 0. Numbers are made in
+    blocks, so that no row holds an array of all of them.
+    """
+    block, n = 4096, F.col(copies).cast("long")
+    blocks = rows.where(n > 0).withColumn(nth, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))))
+    return blocks.withColumn(nth, F.explode(F.sequence(F.col(nth) * block, F.least(F.col(nth) * block + block, n) - 1)))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, so that inputs with clashing columns work."""
     taken = {c.lower() for c in df.columns}

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbor.llm.common import fresh, quoted, text_key
+from arbor.llm.common import each_copy, fresh, quoted, text_key
 
 WINDOW = 8
-#: More windows than this aren't broadcast but joined by a shuffle (about 200 bytes each in memory).
-MOST_BROADCAST = 400_000
+#: Windows that may take more bytes than this in memory aren't broadcast but joined by a shuffle.
+MOST_BROADCAST = 1 << 27
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before A-Z are lower-cased.
@@ -68,7 +68,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_broad
     as strings; copies: how many rows agree in id and text.
     """
     wins = benchmark_windows(benchmark, window=window)
-    sizes = {r["len"]: r["n"] for r in wins.groupBy("len").agg(F.count("*").alias("n")).collect()}
+    # of a row: some 100 bytes, for each of its strings 24 and their bytes
+    held = 100 + 24 * (F.size("win") + F.size("items")) + F.octet_length(F.array_join("win", "")) + F.octet_length(F.array_join("items", ""))
+    sizes = {r["len"]: r["n"] for r in wins.groupBy("len").agg(F.sum(held.cast("long")).alias("n")).collect()}
     lengths = sorted(sizes) or [window]
     tokens = docs.select("id", F.coalesce(text_key(F.col("text")), F.lit(b"")).alias("key"), words_of(F.col("text")).alias("words"))
     probes = _probes(tokens, lengths)
@@ -104,9 +106,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "items",
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("items") >= min_items).alias("contaminated"),
-        F.explode(F.expr("array_repeat(0, cast(copies as int))")).alias("_copy"),
+        F.col("copies").alias("_copies"),
     )
-    return out.drop("_copy")
+    return each_copy(out, "_copies", "_copy").drop("_copies", "_copy")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_items: int = 2) -> DataFrame:

@@ -344,15 +344,32 @@ def describe(media: bytes) -> tuple[bytes, str]:
 FIELDS = (("n_bytes", "long"), ("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"))
 
 
+def store_long(text: bytes, with_media: bool = True) -> tuple[tuple, bytes]:
+    """The values of FIELDS for one text and its media bytes, image by image, so that memory is a few times the text."""
+    payload = memoryview(pad(text))
+    media, seen, kept, features, size = hashlib.sha256(), hashlib.sha256(), [], [], 0
+    for lo in range(0, len(payload), MOST_ROWS * ROW):
+        image = encode(payload[lo : lo + MOST_ROWS * ROW])
+        back, feature = describe(image)
+        media.update(image)
+        seen.update(back)
+        features.append(feature)
+        size += len(image)
+        tail = back[-ROW:]
+        if with_media:
+            kept.append(image)
+    return (len(text), len(payload), seen.hexdigest(), zlib.crc32(tail), size, media.hexdigest(), "+".join(features)), b"".join(kept)
+
+
 def _storing(with_media: bool):
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = tb.buffers(batch.column(batch.num_columns - 1))
             for lo, hi in tb.spans(offs, tb.BLOCK):
                 texts = [data[offs[i] : offs[i + 1]].tobytes() for i in range(lo, hi)]
-                different = list(dict.fromkeys(texts))
+                different = list(dict.fromkeys(t for t in texts if len(t) <= tb.BLOCK))
                 media = encode_all([pad(t) for t in different])
-                known = {
+                known = {t: store_long(t, with_media) for t in texts if len(t) > tb.BLOCK} | {
                     t: ((len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature), m)
                     for t, m, (payload, feature) in zip(different, media, describe_all(media), strict=True)
                 }

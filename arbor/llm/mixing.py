@@ -10,6 +10,7 @@ numbers as there are domains; nothing per document is stored between steps or le
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbor.llm import subword
-from arbor.llm.common import fresh, materialize, quoted
+from arbor.llm.common import each_copy, fresh, materialize, quoted
+
+LOG = logging.getLogger("arbor")
 
 
 @dataclass(frozen=True)
@@ -72,10 +75,13 @@ def fit(scored: DataFrame, domains: list[str], mix: Mix) -> tuple[list[list[floa
     target = mix.headroom * (np.minimum(size * share, now) if mix.anchor in there else size * share)
     white = np.linalg.inv(m + mix.ridge * total * np.eye(k))
     steps: list[list[float]] = []
-    for _ in range(mix.steps):
+    for _ in range(mix.steps + 1):
         residual = now - target
         if np.abs(residual).max() <= mix.tolerance * total:
             break
+        if len(steps) == mix.steps:
+            LOG.warning("after %d steps the tokens of %s miss their targets by %.3g of all", mix.steps, domains[int(np.abs(residual).argmax())], np.abs(residual).max() / total)
+            break
         steps.append([float(x) for x in white @ residual])
         r = rate_of(F.col("posterior"), steps)
         got = scored.select((r * t).alias("rt"), "posterior").agg(*(F.sum(F.col("rt") * p(i)).alias(f"t{i}") for i in range(k))).first()
@@ -83,9 +89,9 @@ def fit(scored: DataFrame, domains: list[str], mix: Mix) -> tuple[list[list[floa
     return steps, dict(zip(domains, map(float, target), strict=True))
 
 
-def copies_of(rate: Column, key: Column, seed: int = 5) -> Column:
+def copies_of(rate: Column, *key: Column, seed: int = 5) -> Column:
     """How often a row is taken: the rate rounded up or down at random by a hash of its key, right on average."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     return F.floor(rate + u).cast("int")
 
 
@@ -93,19 +99,20 @@ def mixture(docs: DataFrame, labelled: DataFrame, mix: Mix | None = None, id_col
     """Columns ``carry`` of ``docs`` (default: all) with posterior, n_words, domain, rate and copies (names are replaced).
 
     labelled(id, domain) is what the classifier learns from. domain: the likeliest, ties to the first by name, null without
-    labels, when every rate is 1. A null or empty text has 0 tokens and the posterior of the labels' shares; its rate follows
+    labels, when every rate is 1. Rows draw their copies by id and text. A null or empty text has 0 tokens and the posterior of the labels' shares; its rate follows
     from that. Rows are scored once, written to the shared folder and then read column by column for the fit.
     """
     mix = mix or Mix()
     model = subword.train(*subword.labelled_sample(docs, labelled, id_col, "domain", text_col, mix.training), mix.training)
     new = ("domain", "rate", "copies")
     kept = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
-    scored = materialize(subword.predict(docs, model, text_col, kept), "scored")
+    draw = fresh(docs, "mix_draw")
+    scored = materialize(subword.predict(docs.withColumn(draw, F.xxhash64(quoted(text_col).cast("string"))), model, text_col, [*kept, draw]), "scored")
     steps, _ = fit(scored, model.classes, mix)
     names = F.array(*map(F.lit, model.classes)) if model.classes else F.array().cast("array<string>")
     domain = F.get(names, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")) if model.classes else F.lit(None).cast("string")
     rated = scored.withColumn("domain", domain).withColumn("rate", rate_of(F.col("posterior"), steps))
-    return rated.withColumn("copies", copies_of(F.col("rate"), quoted(id_col)))
+    return rated.withColumn("copies", copies_of(F.col("rate"), quoted(id_col), F.col(draw))).drop(draw)
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,5 +120,5 @@ def mixed(docs: DataFrame, labelled: DataFrame, mix: Mix | None = None, id_col:
     names = {c: fresh(docs, f"mix_{i}") for i, c in enumerate(docs.columns)}
     safe = docs.select(*(quoted(c).alias(names[c]) for c in docs.columns))
     rows = mixture(safe, labelled.select(quoted(id_col).alias(names[id_col]), "domain"), mix, names[id_col], names[text_col])
-    many = rows.select(*(F.col(names[c]) for c in docs.columns), F.explode(F.expr("array_repeat(0, copies)")).alias("mix_copy"))
+    many = each_copy(rows.select(*(F.col(names[c]) for c in docs.columns), F.col("copies").alias("mix_copies")), "mix_copies", "mix_copy")
     return many.select(*(F.col(names[c]).alias(c) for c in docs.columns))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbor.llm.common import materialize, quoted
+from arbor.llm.common import each_copy, materialize, quoted
 
 #: Hash buckets in which slots are counted, shared out among the shards (one at least to each). Their counts are broadcast.
 BUCKETS = 98_304
@@ -98,7 +98,7 @@ def assign(docs: DataFrame, tree: tuple[Shard, ...] | None = None, grown: tuple[
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("slot0"))
     inside = Window.partitionBy("shard", "bucket").orderBy("id", "crc", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("slot1", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(F.broadcast(offsets), ["shard", "bucket"])
-    placed = placed.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    placed = each_copy(placed, "copies", "i")
     return placed.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard", (F.col("slot0") + F.col("slot1") + F.col("i")).alias("slot"), F.col("grown").alias("grown_shard")
     )

@@ -212,3 +212,50 @@ def test_repetition_of_unseen_words_is_learned():
     data, offs = tb.buffers(pa.array([varied() for _ in range(50)] + [repeated() for _ in range(50)]))
     good = sw.probabilities(sw.logits(model, data, offs))[:, 1]
     assert (good[:50] > 0.5).all() and (good[50:] < 0.5).all()
+
+
+def test_long_texts_are_stored_image_by_image(spark):
+    text = bytes(np.random.default_rng(1).integers(32, 127, 3 * tb.BLOCK + 77, dtype=np.uint8))
+    row, media = j.store_long(text)
+    whole = j.encode(j.pad(text))
+    payload, feature = j.describe(whole)
+    assert media == whole and row == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(whole), hashlib.sha256(whole).hexdigest(), feature)
+    out = j.media_columns(spark.createDataFrame([(1, text.decode()), (2, "x"), (3, text.decode())], "doc_id long, text string")).collect()
+    assert [r["media_sha256"] == row[5] for r in out] == [True, False, True]
+
+
+def test_gradient_descent_equals_a_plain_one():
+    p = sw.SubwordTraining(buckets=64, dims=3, epochs=2, grams=(2, 3))
+    texts, labels = ["good words here", "bad", "", "çà et là", "bad bad"], ["a", "b", "a", "c", "b"]
+    model = sw.train(texts, labels, p)
+    rng = np.random.default_rng(p.seed)
+    vectors = rng.uniform(-1 / p.dims, 1 / p.dims, (p.buckets, p.dims))
+    output, bias, done = np.zeros((3, p.dims)), np.log(np.array([2, 2, 1]) / 5), 0
+    for _ in range(p.epochs):
+        for i in rng.permutation(5):
+            raw = np.frombuffer(texts[i].encode(), dtype=np.uint8)
+            ids = np.concatenate([f for f, _ in sw.features(raw, np.array([0, len(raw)]), p.grams, p.buckets)])
+            rate, done = p.rate * (1 - done / 10), done + 1
+            if not len(ids):
+                continue
+            mean = sum(vectors[k] for k in ids) / len(ids)
+            z = [math.exp(sum(output[c] * mean) + bias[c]) for c in range(3)]
+            error = np.array(z) / sum(z) - np.eye(3)["abc".index(labels[i])]
+            step = rate * len(set(ids.tolist())) ** 0.5 / len(ids) * (output.T @ error)
+            output -= rate * np.outer(error, mean)
+            for k in ids:
+                vectors[k] -= step
+    assert np.abs(model.scores / sw.FIXED - vectors @ output.T).max() < 1e-4
+
+
+def test_character_grams_equal_plain_ones(monkeypatch):
+    texts = ["aé猫b", "", "x", "été là", "日本語の文字"]
+    data, offs = np.frombuffer("".join(texts).encode(), dtype=np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    whole = list(sw.features(data, offs, (2, 3), 1 << 20))
+    want = [[t[i : i + g] for t in texts for i in range(len(t) - g + 1)] for g in (2, 3)]
+    for (ids, n), grams in zip(whole[2:], want, strict=True):
+        assert len(ids) == len(grams) == n.sum() and len(set(zip(ids.tolist(), grams, strict=True))) == len(set(grams)) == len(set(ids.tolist()))
+    monkeypatch.setattr(tb, "BLOCK", 5)
+    parts = list(sw.features(data, offs, (2, 3), 1 << 20))[2:]
+    assert sorted(np.concatenate([p[0] for p in parts]).tolist()) == sorted(np.concatenate([w[0] for w in whole[2:]]).tolist())
+    assert (sum(p[1] for p in parts) == sum(w[1] for w in whole[2:])).all()
