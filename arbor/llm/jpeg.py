@@ -365,11 +365,11 @@ def _storing(with_media: bool):
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = tb.buffers(batch.column(batch.num_columns - 1))
-            for lo, hi in tb.spans(offs, tb.BLOCK):
+            for lo, hi in tb.spans(offs):
                 texts = [data[offs[i] : offs[i + 1]].tobytes() for i in range(lo, hi)]
-                different = list(dict.fromkeys(t for t in texts if len(t) <= tb.BLOCK))
+                different = list(dict.fromkeys(t for t in texts if len(t) <= MOST_ROWS * ROW))
                 media = encode_all([pad(t) for t in different])
-                known = {t: store_long(t, with_media) for t in texts if len(t) > tb.BLOCK} | {
+                known = {t: store_long(t, with_media) for t in texts if len(t) > MOST_ROWS * ROW} | {
                     t: ((len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature), m)
                     for t, m, (payload, feature) in zip(different, media, describe_all(media), strict=True)
                 }

@@ -154,7 +154,7 @@ def _signing(p: NearDuplicates):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = tb.buffers(batch.column(2))
-            for lo, hi in tb.spans(offs):
+            for lo, hi in tb.spans(offs, 8 * tb.BLOCK):
                 e, counts = _elements(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], p)
                 keys = band_keys(dart_signatures(e, counts, p.bands * p.rows), counts, p.bands, p.rows)
                 has = counts > 0

@@ -26,7 +26,7 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
 FOLDED_CODE = BYTE_CODE[FOLD]
 #: Bytes that one vectorised step holds; its scratch arrays are about 60 times as large.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _POWERS: list[np.ndarray] = []
 
 
