@@ -244,7 +244,8 @@ def _parts(token: Column, table: Column, p: RandomTokens) -> Column:
 def spans(text: Column, table: list[float], p: RandomTokens | None = None) -> tuple[Column, Column]:
     """(base spans, runs) of a text; none for null. Base spans are sorted (start, kind, stop).
 
-    A run of token characters has its span, whether it is random as a whole, and the spans of its random parts.
+    A run of token characters has its span, whether it is random as a whole, which it isn't with several random parts that
+    ordinary ones separate, and the spans of its random parts.
     """
     p = p or RandomTokens()
     text = F.coalesce(text, F.lit(""))
@@ -257,7 +258,7 @@ def spans(text: Column, table: list[float], p: RandomTokens | None = None) -> tu
         least = F.when(s["hit"].rlike("[0-9]"), p.ratio).when(_varied(s["hit"], p), F.greatest(F.lit(p.ratio), p.plain / (F.length(s["hit"]) - 1)))
         return F.coalesce(_ratio(s["hit"], ratios) >= least, F.lit(False))
 
-    return base, F.transform(_matches(text, p.pattern, 3), lambda s: F.struct(_span(s).alias("span"), random(s).alias("whole"), parts(s).alias("parts")))
+    return base, F.transform(_matches(text, p.pattern, 3), lambda s: F.struct(_span(s).alias("span"), (random(s) & (F.size(parts(s)) <= 1)).alias("whole"), parts(s).alias("parts")))
 
 
 def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text", p: RandomTokens | None = None) -> DataFrame:
