@@ -634,8 +634,7 @@ ids AS (SELECT term, row_number() OVER (ORDER BY doc_id, pos) - 1 AS term_id FRO
 SELECT doc_id, string_agg(term_id || ':' || CAST(CAST(round(tf * ln((SELECT count(*) FROM documents)::DOUBLE / (df + 1)), 6) AS DECIMAL(18,6)) AS VARCHAR), ' ' ORDER BY term_id) AS vector
 FROM x JOIN df USING (term) JOIN ids USING (term) GROUP BY doc_id""")
 def tfidf_vectors(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return tfidf.vectors(tfidf.tfidf(docs), tfidf.dictionary(docs))
+    return tfidf.document_vectors(table(spark, d, "documents").select("doc_id", "text"))
 
 
 LEXICON = ("an", "and", "ar", "are", "en", "ent", "er", "es", "in", "ing", "on", "or", "re", "st", "te", "ter", "the", "then")

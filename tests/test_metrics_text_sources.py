@@ -1,11 +1,13 @@
 """Metrics, TF-IDF, libsvm text, sampling, streams and the command line on known values."""
 
 import math
+import re
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from arbor import cli, examples
 from arbor.functions import loss, metrics, sampling
 from arbor.operators import models, tfidf
@@ -48,6 +50,44 @@ def test_known_tfidf(spark):
     assert tfidf.document_frequency(docs).where("term = 'a'").first()["df"] == 3
 
 
+def by_hand(docs):
+    """Counts and weights of ``(doc_id, text)`` by a plain walk; rows of one id are one document."""
+    counts, first = {}, {}
+    for d, text in docs:
+        for pos, t in enumerate((text or "").lower().split()):
+            counts[d, t] = counts.get((d, t), 0) + 1
+            first[t] = min(first.get(t, (1 << 63, 0)), (1 << 62 if d is None else d, pos))
+    size, df = {}, {}
+    for (d, t), n in counts.items():
+        size[d] = size.get(d, 0) + n
+        df[t] = df.get(t, 0) + 1
+    weights = {(d, t): n / size[d] * math.log(len(docs) / (df[t] + 1)) for (d, t), n in counts.items()}
+    return counts, weights, {t: i for i, t in enumerate(sorted(first, key=first.get))}
+
+
+#: Ids that come again, once as null, with and without text.
+REPEATED = [(1, "a b a"), (1, "a x"), (2, "A c"), (3, None), (4, " "), (None, "n m n"), (None, "p q r n"), (5, "b c d a"), (3, "z"), (6, "")]
+
+
+def exchanges(df):
+    return re.findall(r"Exchange ([^,]*)", df._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("most", [tfidf.BROADCAST_BYTES, 300, 0])
+def test_vectors_by_common_and_rare_terms(spark, monkeypatch, most):
+    monkeypatch.setattr(tfidf, "BROADCAST_BYTES", most)
+    _, weights, ids = by_hand(REPEATED[1:])
+    got = {r["doc_id"]: r["vector"] for r in tfidf.document_vectors(spark.createDataFrame(REPEATED[1:], "doc_id long, text string")).collect()}
+    pairs = {d: sorted((ids[t], round(w, 6) + 0.0) for (e, t), w in weights.items() if e == d) for d, _ in weights}
+    # two texts without an id have terms at the same place, whose order is open
+    assert {d: v for d, v in got.items() if d is not None} == {d: " ".join(f"{i}:{w:.6f}" for i, w in p) for d, p in pairs.items() if d is not None}
+    assert sorted(x.split(":")[1] for x in got[None].split(" ")) == sorted(f"{w:.6f}" for _, w in pairs[None])
+
+
+def test_vectors_shuffle_no_common_terms(spark, sf):
+    assert [x.split("#")[0] for x in exchanges(entry.queries()["tfidf_vectors"](spark, sf)) if "hashpartitioning" in x] == ["hashpartitioning(doc_id"]
+
+
 def lines(spark, rows, tmp_path):
     path = str(tmp_path / "points.txt")
     with open(path, "w") as f:
