@@ -189,16 +189,11 @@ def _weighed(docs: DataFrame, counts: DataFrame, words: DataFrame) -> DataFrame:
 def tfidf(docs: DataFrame, tokenizer: Callable[[Column], Column] = white_space) -> DataFrame:
     """``(doc_id, term, tf, idf, tfidf)``; N counts all rows of ``docs``, also those without terms.
 
-    A term in every document has a negative idf. Frequencies are aggregated from the per-document counts, which are made
-    once; the two joins back are on the term and of one row.
+    A term in every document has a negative idf. Counts are stored once, and so are frequencies, with a row for each term.
     """
-    counts = term_counts(docs, tokenizer)
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.count()
-    idf = F.log(F.lit(float(n)) / (F.col("df") + 1))
-    joined = counts.join(df, "term")
-    tf = F.col("count") / F.col("doc_terms")
-    return joined.select("doc_id", "term", tf.alias("tf"), idf.alias("idf"), (tf * idf).alias("tfidf"))
+    counts = store(term_counts(docs, tokenizer), "counts")[0]
+    words = store(counts.groupBy("term").agg(F.count("*").alias("df")), "frequency")[0]
+    return _weighed(docs, counts, words).select("doc_id", "term", "tf", "idf", "tfidf")
 
 
 def _joined(weights: DataFrame, digits: int) -> DataFrame:

@@ -615,7 +615,7 @@ x AS (SELECT doc_id, term, n / sum(n) OVER (PARTITION BY doc_id) AS tf FROM c),
 SELECT doc_id, term, round(tf, 9) AS tf, round(ln((SELECT count(*) FROM documents)::DOUBLE / (df + 1)), 9) AS idf, round(tf * ln((SELECT count(*) FROM documents)::DOUBLE / (df + 1)), 9) AS tfidf FROM x JOIN df USING (term)""")
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
     out = tfidf.tfidf(table(spark, d, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "term", *(F.round(c, 9).alias(c) for c in ("tf", "idf", "tfidf")))
+    return out.select("doc_id", "term", *(tfidf.rounded(F.col(c), 9).alias(c) for c in ("tf", "idf", "tfidf")))
 
 
 @query(f"WITH {_TERMS} SELECT term, row_number() OVER (ORDER BY doc_id, pos) - 1 AS term_id FROM (SELECT term, doc_id, pos FROM term QUALIFY row_number() OVER (PARTITION BY term ORDER BY doc_id, pos) = 1)")

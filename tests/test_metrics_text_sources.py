@@ -88,6 +88,24 @@ def test_vectors_shuffle_no_common_terms(spark, sf):
     assert [x.split("#")[0] for x in exchanges(entry.queries()["tfidf_vectors"](spark, sf)) if "hashpartitioning" in x] == ["hashpartitioning(doc_id"]
 
 
+@pytest.mark.parametrize("most", [tfidf.BROADCAST_BYTES, 300, 0])
+def test_weights_by_common_and_rare_terms(spark, monkeypatch, most):
+    monkeypatch.setattr(tfidf, "BROADCAST_BYTES", most)
+    got = [(r["doc_id"], r["term"], r["tfidf"]) for r in tfidf.tfidf(spark.createDataFrame(REPEATED, "doc_id long, text string")).collect()]
+    want = by_hand(REPEATED)[1]
+    assert len(got) == len(want) and all(abs(w - want[d, t]) < 1e-12 for d, t, w in got)
+
+
+def test_weights_shuffle_no_common_terms(spark, sf):
+    assert not [x for x in exchanges(entry.queries()["tfidf_weights"](spark, sf)) if "hashpartitioning" in x]
+
+
+def test_rounded(spark):
+    values = [0.0, 1 / 1024, -1 / 1024, 0.1, -0.191788231, 2.5, 1 / 3, 8.517193191]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(tfidf.rounded(F.col("v"), 9)).collect()
+    assert [r[0] for r in got] == [0.0, 0.000976563, -0.000976563, 0.1, -0.191788231, 2.5, 0.333333333, 8.517193191]
+
+
 def lines(spark, rows, tmp_path):
     path = str(tmp_path / "points.txt")
     with open(path, "w") as f:
