@@ -106,6 +106,14 @@ def test_rounded(spark):
     assert [r[0] for r in got] == [0.0, 0.000976563, -0.000976563, 0.1, -0.191788231, 2.5, 0.333333333, 8.517193191]
 
 
+def test_term_counts_inside_rows(spark, sf):
+    for docs in (REPEATED, REPEATED[1:], REPEATED[6:7]):
+        got = [(r["doc_id"], r["term"], r["count"]) for r in tfidf.term_counts(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+        assert sorted(got, key=str) == sorted(((d, t, n) for (d, t), n in by_hand(docs)[0].items()), key=str)
+    for name in ("term_counts", "segmented_terms"):
+        assert not exchanges(entry.queries()[name](spark, sf))
+
+
 def lines(spark, rows, tmp_path):
     path = str(tmp_path / "points.txt")
     with open(path, "w") as f:
